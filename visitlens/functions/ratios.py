@@ -6,12 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def ratio_half_up(part: Column, whole: Column) -> Column:
-    """part / whole with two decimals, half up; NULL when whole is 0.
+def ratio_half_up(part: str, whole: str) -> Column:
+    """Column ``part`` / column ``whole`` with two decimals, half up; NULL when whole is 0.
 
     The rounding is done on the exact rational in 64-bit integers: a double such as
     29/200 is not exact, so rounding it would depend on its binary error.
     """
-    n = F.nullif(whole, F.lit(0).cast("bigint"))
-    hundredths = F.call_function("div", part * 200 + n, n * 2)
-    return hundredths.cast("double") / F.lit(100.0)
+    return F.expr(f"(({part} * 200 + {whole}) div nullif({whole} * 2, 0)) / 100D")

@@ -84,7 +84,7 @@ def page_convert_rates(actions: DataFrame, flow: Sequence[int]) -> DataFrame:
         )
         for i, (a, b) in enumerate(zip(flow, flow[1:], strict=False), 1)
     ]
-    rate = F.coalesce(ratio_half_up(F.col("moves"), F.col("base")), F.lit(0.0))
+    rate = F.coalesce(ratio_half_up("moves", "base"), F.lit(0.0))
     return flow_moves(actions, flow).select(F.inline(F.array(*rows))).withColumn("rate", rate)
 
 

@@ -36,14 +36,15 @@ def _bucket_names() -> list[str]:
     return [f"{measure}_{name}" for measure, buckets in _MEASURES for name, _, _ in buckets]
 
 
-def _in_bucket(value: Column, low: int, beyond: int | None) -> Column:
-    return value >= low if beyond is None else (value >= low) & (value < beyond)
+def _count_between(measure: str, low: int, beyond: int | None) -> Column:
+    below = "" if beyond is None else f" AND {measure} < {beyond}"
+    return F.expr(f"count_if({measure} >= {low}{below})")
 
 
 def session_counters(sessions: DataFrame) -> DataFrame:
     """One row: the session count and 15 bucket counts. A visit of 0 s is in no bucket."""
     buckets = [
-        F.count_if(_in_bucket(F.col(measure), low, beyond)).alias(f"{measure}_{name}")
+        _count_between(measure, low, beyond).alias(f"{measure}_{name}")
         for measure, table in _MEASURES
         for name, low, beyond in table
     ]
@@ -52,11 +53,10 @@ def session_counters(sessions: DataFrame) -> DataFrame:
 
 def session_aggr_stat(sessions: DataFrame, task_id: int | None) -> DataFrame:
     """One row: the session count and each bucket's share of it (NULL if no session)."""
-    total = F.col("session_count")
     return session_counters(sessions).select(
         F.lit(task_id).cast("bigint").alias("taskid"),
-        total,
-        *[ratio_half_up(F.col(name), total).alias(f"{name}_ratio") for name in _bucket_names()],
+        "session_count",
+        *[ratio_half_up(name, "session_count").alias(f"{name}_ratio") for name in _bucket_names()],
     )
 
 

@@ -5,6 +5,8 @@ Each function takes (spark, folder) and returns a lazy view of one input table.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,98 +21,79 @@ def _events(
     """Events, with the date bounds put on ``ts`` itself so that they reach the scan."""
     events = load(spark, sf_dir, "events")
     if start_date is not None:
-        events = events.where(F.col("ts") >= F.lit(start_date).cast("timestamp_ntz"))
+        events = events.where(F.expr(f"ts >= TIMESTAMP_NTZ '{start_date}'"))
     if end_date is not None:
-        next_day = F.date_add(F.lit(end_date).cast("date"), 1).cast("timestamp_ntz")
-        events = events.where(F.col("ts") < next_day)
-    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+        day_after = date.fromisoformat(end_date) + timedelta(days=1)
+        events = events.where(F.expr(f"ts < TIMESTAMP_NTZ '{day_after}'"))
+    return events.selectExpr("*", "int(get_json_object(props, '$.k')) AS k")
 
 
 def user_visit_action(
     spark: SparkSession, sf_dir: str, start_date: str | None = None, end_date: str | None = None
 ) -> DataFrame:
-    events = _events(spark, sf_dir, start_date, end_date)
-    kind, k, user, event = (F.col(c) for c in ("event_type", "k", "user_id", "event_id"))
-    day = F.date_format("ts", "yyyy-MM-dd")
-    month = F.date_format("ts", "yyyy-MM")
-    day_of_month = F.dayofmonth("ts")
-    grain = (
-        F.when(user % 7 == 0, F.concat(F.lit("m"), month))
-        .when(user % 7 == 1, F.concat(F.lit("h"), month, F.lit("."), F.floor(day_of_month / 16)))
-        .when(user % 7 == 2, F.concat(F.lit("w"), month, F.lit("."), F.floor(day_of_month / 7)))
-        .otherwise(F.concat(F.lit("d"), day))
-    )
-    second_of_day = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.floor(F.second("ts"))
-    squeeze = (
-        F.when(user % 4 == 0, 24).when(user % 4 == 1, 240).when(user % 4 == 2, 2400)
-        .otherwise(20000)
+    """Events as actions: sessions of a day, a week, half a month or a month per user."""
+    timed = _events(spark, sf_dir, start_date, end_date).selectExpr(
+        "event_id",
+        "user_id",
+        "event_type",
+        "k",
+        "string(date(ts)) AS day",
+        "dayofmonth(ts) AS dom",
+        """(user_id % 23) * 3600 + (hour(ts) * 3600 + minute(ts) * 60 + int(second(ts)))
+           div CASE user_id % 4 WHEN 0 THEN 24 WHEN 1 THEN 240 WHEN 2 THEN 2400 ELSE 20000 END
+           AS off""",
     )
-    offset = (user % 23) * 3600 + F.floor(second_of_day / squeeze)
-    clock = F.concat_ws(
-        ":",
-        F.lpad(F.floor(offset / 3600).cast("string"), 2, "0"),
-        F.lpad(F.floor(offset % 3600 / 60).cast("string"), 2, "0"),
-        F.lpad((offset % 60).cast("string"), 2, "0"),
-    )
-    return events.select(
-        day.alias("date"),
-        user.alias("user_id"),
-        F.concat(user.cast("string"), F.lit("-"), grain).alias("session_id"),
-        (k % 10).cast("bigint").alias("page_id"),
-        F.concat(day, F.lit(" "), clock).alias("action_time"),
-        F.when(kind == "view", F.concat(F.lit("kw"), (k % 10).cast("string"))).alias(
-            "search_keyword"
-        ),
-        F.when(kind == "click", k.cast("bigint")).alias("click_category_id"),
-        F.when(kind == "click", (event * 13 + k) % 200).alias("click_product_id"),
-        F.when(kind == "signup", F.concat_ws(",", k, (k * 7 + 3) % 100)).alias(
-            "order_category_ids"
-        ),
-        F.when(kind == "signup", F.concat_ws(",", event % 200, (event + 1) % 200)).alias(
-            "order_product_ids"
-        ),
-        F.when(kind == "purchase", k.cast("string")).alias("pay_category_ids"),
-        F.when(kind == "purchase", (event % 200).cast("string")).alias("pay_product_ids"),
-        (event % 25).alias("city_id"),
+    return timed.selectExpr(
+        "day AS date",
+        "user_id",
+        """concat(user_id, '-', CASE user_id % 7
+             WHEN 0 THEN concat('m', left(day, 7))
+             WHEN 1 THEN concat('h', left(day, 7), '.', dom div 16)
+             WHEN 2 THEN concat('w', left(day, 7), '.', dom div 7)
+             ELSE concat('d', day) END) AS session_id""",
+        "bigint(k % 10) AS page_id",
+        """concat(day, ' ', lpad(off div 3600, 2, '0'), ':', lpad(off % 3600 div 60, 2, '0'),
+                  ':', lpad(off % 60, 2, '0')) AS action_time""",
+        "CASE WHEN event_type = 'view' THEN concat('kw', k % 10) END AS search_keyword",
+        "CASE WHEN event_type = 'click' THEN bigint(k) END AS click_category_id",
+        "CASE WHEN event_type = 'click' THEN (event_id * 13 + k) % 200 END AS click_product_id",
+        """CASE WHEN event_type = 'signup' THEN concat(k, ',', (k * 7 + 3) % 100) END
+           AS order_category_ids""",
+        """CASE WHEN event_type = 'signup'
+             THEN concat(event_id % 200, ',', (event_id + 1) % 200) END AS order_product_ids""",
+        "CASE WHEN event_type = 'purchase' THEN string(k) END AS pay_category_ids",
+        "CASE WHEN event_type = 'purchase' THEN string(event_id % 200) END AS pay_product_ids",
+        "event_id % 25 AS city_id",
     )
 
 
 def user_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as users. One in eleven is left out, so that the inner join has misses."""
-    key = F.col("c_custkey")
-    return (
-        load(spark, sf_dir, "customer")
-        .where(key % 11 != 10)
-        .select(
-            key.alias("user_id"),
-            F.concat(F.lit("user"), key.cast("string")).alias("username"),
-            F.col("c_name").alias("name"),
-            ((key * 7) % 60).cast("int").alias("age"),
-            F.col("c_mktsegment").alias("professional"),
-            F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("city"),
-            F.when(key % 2 == 0, "male").otherwise("female").alias("sex"),
-        )
+    customers = load(spark, sf_dir, "customer").where("c_custkey % 11 <> 10")
+    return customers.selectExpr(
+        "c_custkey AS user_id",
+        "concat('user', c_custkey) AS username",
+        "c_name AS name",
+        "int((c_custkey * 7) % 60) AS age",
+        "c_mktsegment AS professional",
+        "concat('NATION_', c_nationkey) AS city",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS sex",
     )
 
 
 def product_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
-    return load(spark, sf_dir, "part").select(
-        key.alias("product_id"),
-        F.col("p_name").alias("product_name"),
-        F.concat(F.lit('{"product_status": '), (key % 2).cast("string"), F.lit("}")).alias(
-            "extend_info"
-        ),
+    return load(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id",
+        "p_name AS product_name",
+        """concat('{"product_status": ', p_partkey % 2, '}') AS extend_info""",
     )
 
 
 def city_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = load(spark, sf_dir, "nation")
     region = load(spark, sf_dir, "region")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-        F.col("n_nationkey").cast("bigint").alias("city_id"),
-        F.col("n_name").alias("city_name"),
-        F.col("r_name").alias("area"),
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).selectExpr(
+        "bigint(n_nationkey) AS city_id", "n_name AS city_name", "r_name AS area"
     )
 
 
@@ -120,15 +103,9 @@ def ad_lines(
     """One ad click line per event."""
     events = _events(spark, sf_dir, start_date, end_date)
     places = city_info(spark, sf_dir)
-    return events.join(places, F.col("event_id") % 25 == F.col("city_id")).select(
-        F.concat_ws(
-            " ",
-            F.unix_millis(F.col("ts").cast("timestamp")),
-            F.replace("area", F.lit(" "), F.lit("_")),
-            "city_name",
-            F.coalesce(F.col("user_id").cast("string"), F.lit("-")),
-            F.coalesce((F.col("k") % 10).cast("string"), F.lit("-")),
-        ).alias("value")
+    return events.join(places, F.expr("event_id % 25 = city_id")).selectExpr(
+        """concat_ws(' ', unix_millis(timestamp(ts)), replace(area, ' ', '_'), city_name,
+                     coalesce(string(user_id), '-'), coalesce(string(k % 10), '-')) AS value"""
     )
 
 
@@ -138,39 +115,30 @@ def task(spark: SparkSession, sf_dir: str) -> DataFrame:
     Which keys are present varies with the key; some arrays are empty, some have a second
     element that must be ignored.
     """
-    key = F.col("c_custkey")
-    text = key.cast("string")
-
-    def entry(name: str, *values):
-        quoted = [F.concat(F.lit('"'), v, F.lit('"')) for v in values]
-        return F.concat(F.lit(f'"{name}":['), F.concat_ws(",", *quoted), F.lit("]"))
-
-    params = F.concat(
-        F.lit("{"),
-        F.concat_ws(
-            ",",
-            F.when(key % 2 == 0, entry("startDate", F.lit("2024-01-05"))),
-            F.when(key % 4 == 0, entry("endDate", F.lit("2024-01-25"))),
-            F.when(key % 3 == 0, entry("startAge", (key % 40).cast("string"))),
-            F.when(key % 3 != 1, entry("endAge", (key % 40 + 20).cast("string"), F.lit("99"))),
-            F.when(key % 5 < 3, entry("professionals", F.concat("c_mktsegment", F.lit(",OTHER")))),
-            F.when(key % 5 == 3, F.lit('"professionals":[]')),
-            F.when(key % 7 == 0, entry("cities", F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")))),
-            F.when(key % 6 == 0, entry("sex", F.lit("male"), F.lit("female"))),
-            F.when(key % 6 == 1, entry("sex", F.lit(""))),
-            F.when(key % 8 == 0, entry("keywords", F.concat(F.lit("kw"), (key % 10).cast("string")))),
-            F.when(key % 9 == 0, entry("categoryIds", F.concat((key % 100).cast("string"), F.lit(",7")))),
-            entry("targetPageFlow", F.concat((key % 10).cast("string"), F.lit(",2,3"))),
-        ),
-        F.lit("}"),
-    )
-    return load(spark, sf_dir, "customer").select(
-        key.alias("task_id"),
-        F.concat(F.lit("task"), text).alias("task_name"),
-        F.lit("2024-01-31 00:00:00").alias("create_time"),
-        F.lit(None).cast("string").alias("start_time"),
-        F.lit(None).cast("string").alias("finish_time"),
-        F.lit("session").alias("task_type"),
-        F.lit("created").alias("task_status"),
-        params.alias("task_param"),
+    params = """
+        concat('{', concat_ws(',',
+          CASE WHEN c_custkey % 2 = 0 THEN '"startDate":["2024-01-05"]' END,
+          CASE WHEN c_custkey % 4 = 0 THEN '"endDate":["2024-01-25"]' END,
+          CASE WHEN c_custkey % 3 = 0 THEN concat('"startAge":["', c_custkey % 40, '"]') END,
+          CASE WHEN c_custkey % 3 <> 1
+               THEN concat('"endAge":["', c_custkey % 40 + 20, '","99"]') END,
+          CASE WHEN c_custkey % 5 < 3
+               THEN concat('"professionals":["', c_mktsegment, ',OTHER"]') END,
+          CASE WHEN c_custkey % 5 = 3 THEN '"professionals":[]' END,
+          CASE WHEN c_custkey % 7 = 0 THEN concat('"cities":["NATION_', c_nationkey, '"]') END,
+          CASE WHEN c_custkey % 6 = 0 THEN '"sex":["male","female"]' END,
+          CASE WHEN c_custkey % 6 = 1 THEN '"sex":[""]' END,
+          CASE WHEN c_custkey % 8 = 0 THEN concat('"keywords":["kw', c_custkey % 10, '"]') END,
+          CASE WHEN c_custkey % 9 = 0
+               THEN concat('"categoryIds":["', c_custkey % 100, ',7"]') END,
+          concat('"targetPageFlow":["', c_custkey % 10, ',2,3"]')), '}') AS task_param"""
+    return load(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS task_id",
+        "concat('task', c_custkey) AS task_name",
+        "'2024-01-31 00:00:00' AS create_time",
+        "string(NULL) AS start_time",
+        "string(NULL) AS finish_time",
+        "'session' AS task_type",
+        "'created' AS task_status",
+        params,
     )
