@@ -291,6 +291,7 @@ def _arrivals(spark: SparkSession, d: str) -> list[tuple[str, str]]:
     third = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
     spans = (
         tables.load(spark, d, "events")
+        .where("ts IS NOT NULL")
         .groupBy(F.date_format("ts", "yyyy-MM").alias("month"), third.alias("third"))
         .agg(F.min(day).cast("string").alias("first"), F.max(day).cast("string").alias("last"))
         .orderBy("month", "third")

@@ -53,7 +53,7 @@ _VIEWS = {
         SELECT epoch_us(ts) // 1000 AS click_ms, ts AS click_time,
                strftime(ts, '%Y-%m-%d') AS date, replace(area, ' ', '_') AS province,
                city_name AS city, user_id, CAST(k % 10 AS BIGINT) AS ad_id
-        FROM e0 JOIN city_info ON event_id % 25 = city_id""",
+        FROM e0 JOIN city_info ON event_id % 25 = city_id WHERE ts IS NOT NULL""",
     "sessions": """
         SELECT session_id, min(user_id) AS user_id,
                coalesce(string_agg(DISTINCT search_keyword, ',' ORDER BY search_keyword)
@@ -64,14 +64,16 @@ _VIEWS = {
                count(*) AS step_length,
                date_diff('second', min(CAST(action_time AS TIMESTAMP)),
                                    max(CAST(action_time AS TIMESTAMP))) AS visit_length
-        FROM user_visit_action GROUP BY session_id""",
+        FROM user_visit_action WHERE session_id IS NOT NULL GROUP BY session_id""",
     "with_users": """
         SELECT s.*, age, professional, city, sex
         FROM sessions s JOIN user_info u ON s.user_id = u.user_id""",
     "user_counts": """
         SELECT date, user_id, ad_id, count(*) AS click_count
         FROM clicks GROUP BY date, user_id, ad_id""",
-    "blacklist": "SELECT DISTINCT user_id FROM user_counts WHERE click_count >= 3",
+    "blacklist": """
+        SELECT DISTINCT user_id FROM user_counts
+        WHERE click_count >= 3 AND user_id IS NOT NULL""",
     "allowed": """
         SELECT * FROM clicks c
         WHERE NOT EXISTS (SELECT 1 FROM blacklist b WHERE b.user_id = c.user_id)""",
@@ -215,7 +217,7 @@ _FLOW = {
         SELECT page_id, lead(page_id) OVER (PARTITION BY session_id
                  ORDER BY CAST(action_time AS TIMESTAMP) NULLS FIRST, page_id NULLS FIRST)
                  AS next_page
-        FROM user_visit_action""",
+        FROM user_visit_action WHERE session_id IS NOT NULL""",
     "flow": """
         SELECT CAST(s AS INTEGER) AS step, CAST(f AS BIGINT) AS from_page,
                CAST(t AS BIGINT) AS to_page
@@ -253,7 +255,7 @@ _OLD_NEW_TOP3 = {
     "new_top3": _TOP3.format(source="batch"),
 }
 _BOTH_KEYS = """b.date = s.date AND b.province = s.province AND b.city = s.city
-    AND b.ad_id = s.ad_id"""
+    AND b.ad_id IS NOT DISTINCT FROM s.ad_id"""
 _USER_COUNTS = "SELECT date, user_id, ad_id, click_count FROM user_counts"
 
 # An arrival (third of a month) is one batch. Counts of allowed clicks grow batch by

@@ -28,7 +28,8 @@ def lookup_click_counts(keys: DataFrame, counts: DataFrame) -> DataFrame:
 
 def blacklisted_users(counts: DataFrame, threshold: int) -> DataFrame:
     """Users who clicked one ad at least ``threshold`` times in a day."""
-    return counts.where(F.col("click_count") >= threshold).select("user_id").distinct()
+    heavy = counts.where((F.col("click_count") >= threshold) & F.col("user_id").isNotNull())
+    return heavy.select("user_id").distinct()
 
 
 def allowed_clicks(clicks: DataFrame, blacklist: DataFrame, salts: int = 16) -> DataFrame:
@@ -68,7 +69,7 @@ def province_top3(stat: DataFrame) -> DataFrame:
     return first_per_group(
         totals,
         groups=["date", "province"],
-        order=[F.desc("click_count"), F.col("ad_id")],
+        order=[F.desc("click_count"), F.asc_nulls_last("ad_id")],
         n=3,
         row_key=["ad_id"],
     ).drop("row_rank")

@@ -29,7 +29,7 @@ def flow_moves(actions: DataFrame, flow: Sequence[int]) -> DataFrame:
         raise ValueError("a page flow needs at least two pages")
     page, after = F.col("page_id"), F.col("next_page")
 
-    visits = actions.groupBy(
+    visits = actions.where(F.col("session_id").isNotNull()).groupBy(
         "session_id", parse_time("action_time").alias("acted_at"), "page_id"
     ).agg(F.count("*").alias("n"))
     piece = F.floor(F.unix_timestamp("acted_at") / PIECE_SECONDS)

@@ -18,6 +18,8 @@ CATEGORY_HIT = "has_wanted_category"
 def aggregate_sessions(actions: DataFrame, task: SessionTask = SessionTask()) -> DataFrame:
     """One row per session, in one shuffle with map-side partial aggregation.
 
+    Actions without a session id belong to no session.
+
     When the task asks for keywords or categories, whether a session has one of them is
     computed as a flag beside the lists. A plan that does not select the lists then drops
     them, and the aggregation holds only fixed-width values.
@@ -30,7 +32,9 @@ def aggregate_sessions(actions: DataFrame, task: SessionTask = SessionTask()) ->
     wanted_category = any_of(F.col("click_category_id"), task.category_ids)
     if wanted_category is not None:
         flags.append(F.coalesce(F.bool_or(wanted_category), F.lit(False)).alias(CATEGORY_HIT))
-    acted = actions.withColumn("acted_at", parse_time("action_time"))
+    acted = actions.where(F.col("session_id").isNotNull()).withColumn(
+        "acted_at", parse_time("action_time")
+    )
     sessions = acted.groupBy("session_id").agg(
         F.min("user_id").alias("user_id"),
         sorted_distinct(keyword).alias("search_keywords"),

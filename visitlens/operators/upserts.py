@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _join_on_key(rows: DataFrame, keys: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join on the key, where NULL equals NULL as it does in a grouping."""
+    others = keys.select(*[F.col(c).alias(f"other_{c}") for c in key])
+    return rows.join(others, [F.col(c).eqNullSafe(F.col(f"other_{c}")) for c in key], how)
+
+
 def rows_with_stored_key(batch: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of the batch whose key is stored already."""
-    return batch.join(stored.select(*key), list(key), "left_semi")
+    return _join_on_key(batch, stored, key, "left_semi")
 
 
 def rows_with_new_key(batch: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of the batch whose key is not stored yet."""
-    return batch.join(stored.select(*key), list(key), "left_anti")
+    return _join_on_key(batch, stored, key, "left_anti")
 
 
 def latest_per_key(
@@ -46,4 +52,4 @@ def upsert_add(stored: DataFrame, delta: DataFrame, key: Sequence[str], value: s
 def replace_groups(stored: DataFrame, batch: DataFrame, group: Sequence[str]) -> DataFrame:
     """Drop every stored row of a group that the batch has, then add the batch."""
     touched = batch.select(*group).distinct()
-    return stored.join(touched, list(group), "left_anti").unionByName(batch)
+    return _join_on_key(stored, touched, group, "left_anti").unionByName(batch)

@@ -100,8 +100,8 @@ def city_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ad_lines(
     spark: SparkSession, sf_dir: str, start_date: str | None = None, end_date: str | None = None
 ) -> DataFrame:
-    """One ad click line per event."""
-    events = _events(spark, sf_dir, start_date, end_date)
+    """One ad click line per event that has a time."""
+    events = _events(spark, sf_dir, start_date, end_date).where("ts IS NOT NULL")
     places = city_info(spark, sf_dir)
     return events.join(places, F.expr("event_id % 25 = city_id")).selectExpr(
         """concat_ws(' ', unix_millis(timestamp(ts)), replace(area, ' ', '_'), city_name,
