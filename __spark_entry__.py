@@ -135,7 +135,9 @@ def session_count_by_hour(spark, d):
 
 
 def session_random_extract(spark, d):
-    return sampling.session_random_extract(_filtered(spark, d), PER_DAY, SEED, OPEN_TASK.task_id)
+    """Sessions are stored first: quotas and draw read them, with different columns."""
+    chosen = stored(spark, _filtered(spark, d), "sessions")
+    return sampling.session_random_extract(chosen, PER_DAY, SEED, OPEN_TASK.task_id)
 
 
 def session_random_extract_detail(spark, d):
@@ -156,7 +158,9 @@ def top10_category(spark, d):
 
 
 def top10_category_session(spark, d):
-    return categories.top10_category_session(_category_counts(spark, d), OPEN_TASK.task_id)
+    """Counts are stored first: the ten categories and their sessions both read them."""
+    counts = stored(spark, _category_counts(spark, d), "category-counts")
+    return categories.top10_category_session(counts, OPEN_TASK.task_id)
 
 
 def page_split_convert_rate(spark, d):
@@ -206,7 +210,9 @@ def ad_clicks_allowed(spark, d):
 
 
 def ad_stat(spark, d):
-    return ads.ad_stat(_clicks(spark, d), ad_blacklist(spark, d))
+    """One pass over the clicks: counts per place are stored, list and statistic read them."""
+    counts = stored(spark, ads.place_user_counts(_clicks(spark, d)), "place-user-counts")
+    return ads.ad_stat(counts, ads.blacklisted_users(ads.user_totals(counts), BLACKLIST_AT))
 
 
 def ad_province_top3(spark, d):

@@ -40,7 +40,7 @@ def test_user_counts_blacklist_and_stat(spark):
     blacklist = ads.blacklisted_users(counts, 3)
     assert values(blacklist) == [(1,)]
     assert {r.user_id for r in ads.allowed_clicks(df, blacklist).collect()} == {2, 3}
-    assert values(ads.ad_stat(df, blacklist)) == [
+    assert values(ads.ad_stat(ads.place_user_counts(df), blacklist)) == [
         ("2024-01-01", "P", "C1", 9, 1),
         ("2024-01-01", "Q", "C3", 7, 1),
         ("2024-01-01", "Q", "C3", 8, 1),

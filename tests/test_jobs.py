@@ -78,7 +78,7 @@ def test_ad_job_and_its_repetition(spark, tmp_path):
     out = str(tmp_path)
     counts = ads.user_click_counts(clicks)
     blacklist = ads.blacklisted_users(counts, 3)
-    stat = ads.ad_stat(clicks, blacklist)
+    stat = ads.ad_stat(ads.place_user_counts(clicks), blacklist)
     expected = {
         "ad_user_click_count": (schemas.AD_USER_CLICK_COUNT, counts),
         "ad_blacklist": (schemas.AD_BLACKLIST, blacklist),

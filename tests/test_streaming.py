@@ -30,7 +30,7 @@ def test_ad_stat_stream_equals_batch(spark, tmp_path):
     blacklist = spark.createDataFrame([(3,)], schemas.AD_BLACKLIST)
     table = str(tmp_path / "table")
     run(spark, tmp_path, lambda c, at: streams.ad_stat_stream(c, blacklist, table, at))
-    expected = ads.ad_stat(all_clicks(spark), blacklist)
+    expected = ads.ad_stat(ads.place_user_counts(all_clicks(spark)), blacklist)
     assert values(streams.read_ad_stat(spark, table)) == values(expected)
 
 
@@ -67,7 +67,7 @@ def test_province_top3_stream_equals_batch(spark, tmp_path):
     run(
         spark, tmp_path, lambda c, at: streams.province_top3_stream(c, blacklist, stat, top3, at)
     )
-    expected = ads.province_top3(ads.ad_stat(all_clicks(spark), blacklist))
+    expected = ads.province_top3(ads.ad_stat(ads.place_user_counts(all_clicks(spark)), blacklist))
     got = read_table(spark, top3, schemas.AD_PROVINCE_TOP3)
     columns = ["date", "province", "ad_id", "click_count"]
     assert values(got, *columns) == values(expected, *columns)

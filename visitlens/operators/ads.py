@@ -16,6 +16,20 @@ def user_click_counts(clicks: DataFrame) -> DataFrame:
     )
 
 
+def place_user_counts(clicks: DataFrame) -> DataFrame:
+    """Clicks per (date, province, city, ad, user): one pass that serves several tables."""
+    return clicks.groupBy(
+        format_date("click_time").alias("date"), "province", "city", "ad_id", "user_id"
+    ).agg(F.count("*").alias("click_count"))
+
+
+def user_totals(place_counts: DataFrame) -> DataFrame:
+    """Clicks per (date, user, ad), from counts per place."""
+    return place_counts.groupBy("date", "user_id", "ad_id").agg(
+        F.sum("click_count").alias("click_count")
+    )
+
+
 def lookup_click_counts(keys: DataFrame, counts: DataFrame) -> DataFrame:
     """The stored count of each (date, user, ad) key, 0 where there is none.
 
@@ -46,17 +60,13 @@ def allowed_clicks(clicks: DataFrame, blacklist: DataFrame, salts: int = 16) ->
     return clicks.withColumn("salt", salt).join(listed, ["user_id", "salt"], "left_anti").drop("salt")
 
 
-def ad_stat(clicks: DataFrame, blacklist: DataFrame) -> DataFrame:
+def ad_stat(place_counts: DataFrame, blacklist: DataFrame) -> DataFrame:
     """Clicks of allowed users per (date, province, city, ad).
 
-    Clicks are counted per user before the anti join, which leaves few rows per user.
+    The anti join takes counts per user and place, so a user has few rows in it.
     """
-    key = ["date", "province", "city", "ad_id"]
-    per_user = clicks.groupBy(
-        format_date("click_time").alias("date"), "province", "city", "ad_id", "user_id"
-    ).agg(F.count("*").alias("click_count"))
-    allowed = per_user.join(blacklist.select("user_id"), "user_id", "left_anti")
-    return allowed.groupBy(*key).agg(
+    allowed = place_counts.join(blacklist.select("user_id"), "user_id", "left_anti")
+    return allowed.groupBy("date", "province", "city", "ad_id").agg(
         F.sum("click_count").alias("click_count")
     )
 

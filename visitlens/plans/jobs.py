@@ -6,10 +6,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from visitlens import schemas
 from visitlens.operators import ads, categories, pages, products, sampling, sessions, stats
 from visitlens.params import SessionTask
 from visitlens.plans.scratch import stored
-from visitlens.sinks.files import append_rows, overwrite_groups
+from visitlens.sinks.files import append_rows, overwrite_groups, read_table
 from visitlens.sources.tables import actions_in_dates
 
 
@@ -65,14 +66,15 @@ def area_products(
 
 def ad_statistics(spark: SparkSession, clicks: DataFrame, threshold: int, out: str) -> None:
     """All ad tables for the dates in ``clicks``; a date written before is replaced."""
-    counts = ads.user_click_counts(clicks)
-    overwrite_groups(counts, f"{out}/ad_user_click_count", ["date"])
-    counts = spark.read.schema(counts.schema).parquet(f"{out}/ad_user_click_count")
+    place_counts = stored(spark, ads.place_user_counts(clicks), "place-user-counts")
+    counts_table = f"{out}/ad_user_click_count"
+    overwrite_groups(ads.user_totals(place_counts), counts_table, ["date"])
+    counts = read_table(spark, counts_table, schemas.AD_USER_CLICK_COUNT)
     blacklist = stored(spark, ads.blacklisted_users(counts, threshold), "blacklist")
     # Derived from all stored counts, so the list is written whole, each user once.
     blacklist.write.mode("overwrite").parquet(f"{out}/ad_blacklist")
 
-    stat = stored(spark, ads.ad_stat(clicks, blacklist), "ad-stat")
+    stat = stored(spark, ads.ad_stat(place_counts, blacklist), "ad-stat")
     overwrite_groups(stat, f"{out}/ad_stat", ["date"])
     overwrite_groups(ads.province_top3(stat), f"{out}/ad_province_top3", ["date", "province"])
     overwrite_groups(ads.click_trend(clicks), f"{out}/ad_click_trend", ["date"])
