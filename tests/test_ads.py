@@ -18,14 +18,12 @@ def clicks(spark, *rows):
 
 
 def test_parse(spark):
-    broken = spark.createDataFrame([("x y",), ("",)], "value string")
+    broken = spark.createDataFrame([("x y",), ("",), (f"{BASE} A",)], "value string")
     got = parse_ad_lines(lines(spark, (61, "A_B", "C", 7, 3)).union(broken))
     time = dt.datetime(2024, 1, 1, 0, 1, 1, 5000)
-    rows = {tuple(r) for r in got.collect()}
-    assert rows == {
+    assert {tuple(r) for r in got.collect()} == {
         (time, "A_B", "C", 7, 3),
-        (None, "y", None, None, None),
-        (None, None, None, None, None),
+        (dt.datetime(2024, 1, 1), "A", None, None, None),
     }
 
 

@@ -63,7 +63,6 @@ def test_reading_touched_dates_prunes_batches(spark, tmp_path):
         )
         batches.write_batch(rows, path, batch_id, ["date"])
     stored = batches.read_batches(spark, path, schemas.AD_STAT)
-    touched = stored.where("batch = 3").select("date").distinct()
-    got = stored.join(touched, ["date"], "left_semi")
+    got = batches.on_dates_of_batch(stored, 3)
     assert "dynamicpruning" in plan(got)
     assert got.count() == 1

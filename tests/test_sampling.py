@@ -33,7 +33,7 @@ def _expected(rows, per_day, seed):
     return drawn
 
 
-@pytest.mark.parametrize("per_day", [1, 7, 60, 200, 5000])
+@pytest.mark.parametrize("per_day", [1, 7, 200, 250, 5000])
 def test_sample_matches_plain_python(spark, per_day):
     rng = random.Random(3)
     rows = []
@@ -55,7 +55,7 @@ def test_quotas_add_up(spark):
     assert quotas.agg(F.sum("quota")).collect()[0][0] == 100
 
 
-@pytest.mark.parametrize("n", [3, 75])
+@pytest.mark.parametrize("n", [3, 250])
 def test_first_per_group_with_a_hot_group(spark, n):
     df = spark.range(5000).selectExpr("if(id % 3 > 0, 0, id % 20) AS g", "id", "id * 37 % 1009 AS v")
     got = values(first_per_group(df, ["g"], [F.desc("v"), F.col("id")], n, ["id"]), "g", "id", "row_rank")

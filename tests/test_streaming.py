@@ -1,7 +1,11 @@
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from tests.rows import values
 from tests.test_ads import clicks, lines
 from visitlens import schemas
 from visitlens.operators import ads
+from visitlens.sinks import batches
 from visitlens.sinks.files import read_table
 from visitlens.sources.adlog import file_ad_lines, parse_ad_lines
 from visitlens.streaming import ads as streams
@@ -61,6 +65,33 @@ def test_blacklist_grows_and_filters_the_next_batch(spark, tmp_path):
     assert after_first.count() == 0
 
 
+@pytest.mark.parametrize("failing_call", [1, 2, 3])
+def test_batch_that_failed_half_way_is_replayed(spark, tmp_path, monkeypatch, failing_call):
+    """The second batch stops before one of its three writes, and the stream is restarted."""
+    counts, blacklist, allowed = (str(tmp_path / n) for n in ("counts", "blacklist", "allowed"))
+    real, calls = batches.write_batch, []
+
+    def failing(rows, path, batch_id, partition_by=()):
+        if batch_id == 1:
+            calls.append(path)
+            if len(calls) == failing_call:
+                raise OSError("lost")
+        real(rows, path, batch_id, partition_by)
+
+    monkeypatch.setattr(batches, "write_batch", failing)
+
+    def build(c, at):
+        return streams.allowed_clicks_stream(c, 3, counts, blacklist, allowed, at)
+
+    with pytest.raises(StreamingQueryException):
+        run(spark, tmp_path, build, ARRIVALS[:2])
+    run(spark, tmp_path, build, [[]])
+    run(spark, tmp_path, build, ARRIVALS[2:])
+    assert values(streams.read_blacklist(spark, blacklist)) == [(1,)]
+    got = [r.user_id for r in streams.read_allowed_clicks(spark, allowed).collect()]
+    assert sorted(got) == [1, 1, 1, 1, 2, 2, 2, 3]
+
+
 def test_province_top3_stream_equals_batch(spark, tmp_path):
     blacklist = spark.createDataFrame([], schemas.AD_BLACKLIST)
     stat, top3 = str(tmp_path / "stat"), str(tmp_path / "top3")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Up to this n, the per-task group limit that Spark plans below the shuffle sends few
 # enough rows per group to one task. Above it, a salted round thins a hot group first.
-DIRECT_LIMIT = 50
+DIRECT_LIMIT = 200
 SALTS = 64
 
 

@@ -39,11 +39,24 @@ def write_batch(
 def read_batches(
     spark: SparkSession, path: str, schema: str, up_to: int | None = None
 ) -> DataFrame:
-    """All rows with their ``batch``; ``up_to`` limits which folders are read."""
+    """All rows with their ``batch``; ``up_to`` limits which folders are read.
+
+    A reader beside a running stream passes the last batch that has finished.
+    """
     rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
     return rows if up_to is None else rows.where(F.col("batch") <= up_to)
 
 
+def on_dates_of_batch(batches: DataFrame, batch_id: int) -> DataFrame:
+    """Rows of all batches on the dates that one batch has, for tables partitioned by date.
+
+    The dates are as few as the days a batch spans, so they can be broadcast; Spark then
+    lists and reads only the folders of these dates.
+    """
+    dates = batches.where(F.col("batch") == batch_id).select("date").distinct()
+    return batches.join(F.broadcast(dates), "date", "left_semi")
+
+
 def read_sums(batches: DataFrame, key: Sequence[str], value: str) -> DataFrame:
     """Batches of deltas, added up per key."""
     return batches.groupBy(*key).agg(F.sum(value).alias(value))

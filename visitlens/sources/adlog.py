@@ -25,17 +25,19 @@ def file_ad_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
 def parse_ad_lines(lines: DataFrame) -> DataFrame:
     """``timestamp_ms province city userId adId`` to typed columns.
 
-    Casts are ``try_cast``: a broken line gives NULL fields instead of stopping a stream.
+    Casts are ``try_cast``: a broken line does not stop a stream. A line without a readable
+    time is no click; other unreadable fields are NULL.
     """
     part = F.split("value", " ")
 
     def field(i: int):
         return F.get(part, F.lit(i))
 
-    return lines.select(
+    clicks = lines.select(
         F.timestamp_millis(field(0).try_cast("bigint")).alias("click_time"),
         field(1).alias("province"),
         field(2).alias("city"),
         field(3).try_cast("bigint").alias("user_id"),
         field(4).try_cast("bigint").alias("ad_id"),
     )
+    return clicks.where(F.col("click_time").isNotNull())

@@ -101,7 +101,7 @@ def allowed_clicks_stream(
     """Pass on clicks of users not yet blacklisted, and grow the blacklist.
 
     Batch n is filtered by the blacklist after batch n - 1. Its clicks are then counted,
-    and users who reach the threshold on a key that the batch touched are added.
+    and users who reach the threshold on a date that the batch touched are added.
     """
     spark = clicks.sparkSession
     batches.create(spark, counts_table, schemas.AD_USER_CLICK_COUNT, BY_DATE)
@@ -123,11 +123,10 @@ def allowed_clicks_stream(
         deltas = batches.read_batches(
             session, counts_table, schemas.AD_USER_CLICK_COUNT, up_to=batch_id
         )
-        touched = deltas.where(F.col("batch") == batch_id).select(*USER_KEY)
-        totals = batches.read_sums(
-            deltas.join(touched, list(USER_KEY), "left_semi"), USER_KEY, "click_count"
-        )
-        batches.write_batch(blacklisted_users(totals, threshold), blacklist_table, batch_id)
+        near = batches.on_dates_of_batch(deltas, batch_id)
+        totals = batches.read_sums(near, USER_KEY, "click_count")
+        over = blacklisted_users(totals, threshold)
+        batches.write_batch(over.join(known, "user_id", "left_anti"), blacklist_table, batch_id)
 
     return _writer(clicks, "append", checkpoint, save)
 
@@ -158,7 +157,9 @@ def province_top3_stream(
         batches.write_batch(rows, stat_table, batch_id, BY_DATE)
         stored = batches.read_batches(session, stat_table, schemas.AD_STAT, up_to=batch_id)
         touched = stored.where(F.col("batch") == batch_id).select("date", "province").distinct()
-        in_touched = stored.join(touched, ["date", "province"], "left_semi")
+        in_touched = batches.on_dates_of_batch(stored, batch_id).join(
+            touched, ["date", "province"], "left_semi"
+        )
         current = batches.read_latest(in_touched, STAT_KEY, ["click_count"])
         overwrite_groups(province_top3(current), top3_table, ["date", "province"])
 
