@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.rows import action, actions, users, values
 from visitlens.operators import sessions
@@ -113,8 +114,9 @@ def test_detail_has_the_actions_of_filtered_sessions_only(population):
     assert detail.count() == values(sessions.session_action_count(chosen))[0][0]
 
 
-def test_hot_session_is_split_in_the_detail_join(spark):
-    """One session with a third of the rows: the join that shuffles is split at run time."""
+@pytest.fixture
+def small_partitions(spark):
+    """Settings under which a few hundred KB in one partition count as skew."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -126,19 +128,40 @@ def test_hot_session_is_split_in_the_detail_join(spark):
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
-    try:
-        acts = spark.range(0, 60000, 1, 8).selectExpr(
-            "if(id % 3 = 0, 'hot', concat('s', id % 997)) AS session_id",
-            "id AS page_id", "md5(string(id)) AS action_time",
-        )
-        chosen = acts.select("session_id").distinct()
-        joined = sessions.session_actions(acts, chosen)
-        joined.write.format("noop").mode("overwrite").save()
-        assert joined.count() == 60000
-        rows = joined.collect()
-        assert len(rows) == 60000
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert "skew=true" in plan
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _hot_actions(spark):
+    """60,000 actions; every third has the same session and the same user."""
+    return spark.range(0, 60000, 1, 8).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('s', id % 997)) AS session_id",
+        "if(id % 3 = 0, 1, id) AS user_id",
+        "id AS page_id",
+        "md5(string(id)) AS action_time",
+    )
+
+
+def _final_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_session_is_split_in_the_detail_join(spark, small_partitions):
+    acts = _hot_actions(spark)
+    joined = sessions.session_actions(acts, acts.select("session_id").distinct())
+    assert len(joined.collect()) == 60000
+    assert "skew=true" in _final_plan(joined)
+
+
+def test_sessions_of_a_hot_user_are_split_in_the_user_join(spark, small_partitions):
+    rows = _hot_actions(spark).selectExpr("string(page_id) AS session_id", "user_id", "action_time")
+    found = rows.groupBy("session_id").agg(
+        F.min("user_id").alias("user_id"), F.min("action_time").alias("start")
+    )
+    people = spark.range(60000).selectExpr(
+        "id AS user_id", "1 AS age", "'p' AS professional", "'c' AS city", "'male' AS sex"
+    )
+    joined = sessions.with_users(found, people)
+    assert len(joined.collect()) == 60000
+    assert "skew=true" in _final_plan(joined)

@@ -40,10 +40,15 @@ def lookup_click_counts(keys: DataFrame, counts: DataFrame) -> DataFrame:
     return found.select(*key, F.coalesce("click_count", F.lit(0)).alias("click_count"))
 
 
-def blacklisted_users(counts: DataFrame, threshold: int) -> DataFrame:
-    """Users who clicked one ad at least ``threshold`` times in a day."""
+def blacklistings(counts: DataFrame, threshold: int) -> DataFrame:
+    """(date, user) where a user clicked one ad at least ``threshold`` times in the day."""
     heavy = counts.where((F.col("click_count") >= threshold) & F.col("user_id").isNotNull())
-    return heavy.select("user_id").distinct()
+    return heavy.select("date", "user_id").distinct()
+
+
+def blacklisted_users(counts: DataFrame, threshold: int) -> DataFrame:
+    """Users with any such day."""
+    return blacklistings(counts, threshold).select("user_id").distinct()
 
 
 def allowed_clicks(clicks: DataFrame, blacklist: DataFrame, salts: int = 16) -> DataFrame:

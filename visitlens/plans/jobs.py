@@ -65,14 +65,18 @@ def area_products(
 
 
 def ad_statistics(spark: SparkSession, clicks: DataFrame, threshold: int, out: str) -> None:
-    """All ad tables for the dates in ``clicks``; a date written before is replaced."""
+    """All ad tables for the dates in ``clicks``, each date whole; it replaces what was there.
+
+    Clicks are filtered by the users listed on these or earlier written dates.
+    """
     place_counts = stored(spark, ads.place_user_counts(clicks), "place-user-counts")
-    counts_table = f"{out}/ad_user_click_count"
-    overwrite_groups(ads.user_totals(place_counts), counts_table, ["date"])
-    counts = read_table(spark, counts_table, schemas.AD_USER_CLICK_COUNT)
-    blacklist = stored(spark, ads.blacklisted_users(counts, threshold), "blacklist")
-    # Derived from all stored counts, so the list is written whole, each user once.
-    blacklist.write.mode("overwrite").parquet(f"{out}/ad_blacklist")
+    counts = stored(spark, ads.user_totals(place_counts), "user-counts")
+    overwrite_groups(counts, f"{out}/ad_user_click_count", ["date"])
+    # The list keeps the date of each listing, so a run adds or renews only its own dates.
+    listings = f"{out}/ad_blacklist"
+    overwrite_groups(ads.blacklistings(counts, threshold), listings, ["date"])
+    blacklist = read_table(spark, listings, schemas.AD_BLACKLIST + ", date string")
+    blacklist = stored(spark, blacklist.select("user_id").distinct(), "blacklist")
 
     stat = stored(spark, ads.ad_stat(place_counts, blacklist), "ad-stat")
     overwrite_groups(stat, f"{out}/ad_stat", ["date"])
