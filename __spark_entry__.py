@@ -274,7 +274,7 @@ def replace_groups(spark, d):
 
 def sink_append(spark, d):
     path = shared_folder(spark, "sink-append")
-    counts = ad_user_click_count(spark, d)
+    counts = stored(spark, ad_user_click_count(spark, d), "user-counts")
     append_rows(counts.where(F.col("date") < CUT_DATE), path)
     append_rows(counts.where(F.col("date") >= CUT_DATE), path)
     return read_table(spark, path, schemas.AD_USER_CLICK_COUNT)

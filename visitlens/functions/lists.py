@@ -14,8 +14,3 @@ def non_empty(text: Column) -> Column:
 def sorted_distinct(column: Column) -> Column:
     """Aggregate: the distinct non-null values in ascending order, comma joined; '' if none."""
     return F.array_join(F.array_sort(F.collect_set(column)).cast("array<string>"), ",")
-
-
-def split_ids(text: Column) -> Column:
-    """'3,14' to [3, 14]; NULL stays NULL, empty elements become NULL elements."""
-    return F.transform(F.split(text, ","), lambda x: F.nullif(F.trim(x), F.lit("")).cast("bigint"))
