@@ -45,3 +45,9 @@ def test_unknown_or_repeated_task_is_an_error(spark):
         load_task(tasks, 5)
     with pytest.raises(LookupError):
         load_task(tasks, 1)
+
+
+def test_broken_parameters_are_an_error(spark):
+    row = (3, "t", None, None, None, None, None, '{"sex":["male"')
+    with pytest.raises(Exception, match="MALFORMED"):
+        load_task(spark.createDataFrame([row], schemas.TASK), 3)

@@ -42,11 +42,13 @@ def _first_value(params: Column, key: str) -> Column:
     return F.nullif(F.try_element_at(F.try_element_at(params, F.lit(key)), F.lit(1)), F.lit(""))
 
 
-def task_parameters(tasks: DataFrame) -> DataFrame:
-    """One row per task with its parameters as typed columns; lists stay comma separated."""
-    parsed = tasks.select(
-        "task_id", F.from_json("task_param", "map<string,array<string>>").alias("p")
-    )
+def task_parameters(tasks: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """One row per task with its parameters as typed columns; lists stay comma separated.
+
+    ``mode`` is Spark's JSON mode: broken JSON gives NULL parameters, or stops the query.
+    """
+    params = F.from_json("task_param", "map<string,array<string>>", {"mode": mode})
+    parsed = tasks.select("task_id", params.alias("p"))
     p = F.col("p")
     return parsed.select(
         "task_id",
@@ -64,8 +66,12 @@ def task_parameters(tasks: DataFrame) -> DataFrame:
 
 
 def load_task(tasks: DataFrame, task_id: int) -> SessionTask:
-    """The task with this id. The filter on the key reaches the scan; one row comes back."""
-    rows = task_parameters(tasks.where(F.col("task_id") == task_id)).limit(2).collect()
+    """The task with this id. The filter on the key reaches the scan; one row comes back.
+
+    Broken JSON is an error: without its parameters the task would run unfiltered.
+    """
+    found = tasks.where(F.col("task_id") == task_id)
+    rows = task_parameters(found, "FAILFAST").limit(2).collect()
     if not rows:
         raise LookupError(f"no task with id {task_id}")
     if len(rows) > 1:
