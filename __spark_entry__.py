@@ -401,6 +401,14 @@ _QUERIES = (
 )
 
 
+try:  # the operators for training data, where they are installed
+    from visitlens.llm import queries as _llm
+except ImportError:
+    _LLM_QUERIES, _LLM_SQL = {}, {}
+else:
+    _LLM_QUERIES, _LLM_SQL = _llm.QUERIES, _llm.ORACLE_SQL
+
+
 def _in_utc(query: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -415,8 +423,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: _in_utc(query) for query in _QUERIES}
+    own = {query.__name__: query for query in _QUERIES}
+    return {name: _in_utc(query) for name, query in (own | _LLM_QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_texts.oracle_sql()
+    return oracle_texts.oracle_sql() | _LLM_SQL
