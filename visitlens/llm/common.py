@@ -8,6 +8,7 @@ from functools import reduce
 from uuid import uuid4
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def shuffle_parts(spark: SparkSession) -> int:
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a piece holds about ``most_bytes`` of one column, or one row."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
         start, held = 0, 0.0
         for i, size in enumerate(sizes):
             size = 0.0 if size != size else float(size)
