@@ -43,7 +43,7 @@ def pack_words(words: list[str]) -> bytes:
     """Words as one compressed cell: their lengths, then their bytes."""
     data = [w.encode() for w in words]
     sizes = np.fromiter(map(len, data), "<u4", len(data))
-    return zlib.compress(len(data).to_bytes(8, "little") + sizes.tobytes() + b"".join(data), 1)
+    return zlib.compress(len(data).to_bytes(8, "little") + sizes.tobytes() + b"".join(data), 6)
 
 
 def unpack_cells(cell: bytes, unit: int = 1) -> list[bytes]:
@@ -58,7 +58,7 @@ def unpack_cells(cell: bytes, unit: int = 1) -> list[bytes]:
 def pack_ids(ids: list[list[int]]) -> bytes:
     sizes = np.fromiter(map(len, ids), "<u4", len(ids))
     flat = np.fromiter((i for one in ids for i in one), "<u4", int(sizes.sum()))
-    return zlib.compress(len(ids).to_bytes(8, "little") + sizes.tobytes() + flat.tobytes(), 1)
+    return zlib.compress(len(ids).to_bytes(8, "little") + sizes.tobytes() + flat.tobytes(), 6)
 
 
 def by_part(words: set[str], parts: int) -> dict[int, list[str]]:
@@ -115,16 +115,15 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             )
 
     def put_together(rows: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
-        split, positions, words = splitter(pattern), [], set()
+        # Texts are split twice, since the words of a whole block would not fit beside it.
+        split, words = splitter(pattern), set()
         for one in rows["text"]:
-            found = split(one)
-            words.update(found)
-            positions.append(found)
+            words.update(split(one))
         ids_of: dict[str, bytes] = {}
         dealt = by_part(words, parts)
         for part, cell in zip(coded["part"], coded["ids"], strict=True):
             ids_of.update(zip(dealt[part], unpack_cells(cell, 4), strict=True))
-        ids = [b"".join(map(ids_of.__getitem__, found)) for found in positions]
+        ids = [b"".join(map(ids_of.__getitem__, split(one))) for one in rows["text"]]
         return pd.DataFrame(
             {"doc_id": rows["doc_id"].array, "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
         )

@@ -15,12 +15,16 @@ are not looked at.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,21 +42,44 @@ CACHED_WORDS = 400_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def ordered_ranks(model_text: str) -> dict[bytes, int] | None:
+    """The byte strings of a byte-level BPE file with their ids, if every merge makes a token
+    of a higher id than the merge before it: then merging by rank is merging by id."""
+    model = json.loads(model_text)["model"]
+    vocab = model["vocab"]
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [vocab[token] for token in made]
+    if any(a >= b for a, b in itertools.pairwise(ids)):
+        return None
+    # Byte-level BPE shows printable bytes as themselves and the others from U+0100 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    tokens = [*byte_of, *made]
+    return {bytes(byte_of[c] for c in token): vocab[token] for token in tokens}
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: documents cut at whole sequences.
 
-    A task encodes the new words of a batch in one call and keeps a bounded table of known
-    ones. Texts beyond Latin-1 go through the tokenizer whole.
+    A task encodes the new words of a batch and keeps a bounded table of known ones. Where
+    the file's merges stand in the order of their ids, words go through the faster merge
+    loop of tiktoken, with the ids of this file. Texts beyond Latin-1 go through the
+    tokenizer whole.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
-        model = docs.sparkSession.sparkContext.broadcast(file.read())
+        model_text = file.read()
+    shared = docs.sparkSession.sparkContext.broadcast((model_text, ordered_ranks(model_text)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(model.value)
+        model_text, ranks = shared.value
+        tokenizer = Tokenizer.from_str(model_text)
         tokenizer.encode_special_tokens = True
+        if ranks:
+            fast = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         split, known = splitter(pattern), {}
         end = np.array([end_id], "<u4").tobytes()
 
@@ -60,15 +87,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, sequence: int = S
             found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+        def word_ids(words: list[str]) -> list[bytes]:
+            if not ranks:
+                return ids_of(words)
+            return [array("I", fast.encode_ordinary(w)).tobytes() for w in words]
+
         for batch in slices(batches, "text", BATCH_BYTES):
             texts = batch.column("text").to_pylist()
             words = [None if BEYOND_LATIN.search(t) else split(t) for t in texts]
-            new = {w for found in words if found for w in found}.difference(known)
-            if len(known) + len(new) > CACHED_WORDS:
+            met = set().union(*filter(None, words))
+            if len(known) + len(met) > CACHED_WORDS:
                 known.clear()
-                new = {w for found in words if found for w in found}
-            new = list(new)
-            known.update(zip(new, ids_of(new), strict=True))
+            new = list(met.difference(known))
+            known.update(zip(new, word_ids(new), strict=True))
             out = [[] for _ in range(5)]
             for doc_id, text, found in zip(batch.column("doc_id").to_pylist(), texts, words, strict=True):
                 ids = ids_of([text])[0] if found is None else b"".join(map(known.__getitem__, found))

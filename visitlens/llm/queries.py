@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlens.llm import bpe, exact_dedup, packing, sharding, topk, warc
+from visitlens.llm import bpe, exact_dedup, packing, pii, quality, sharding, topk, toxicity, warc
 from visitlens.llm.common import table, work_folder
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole, members = work_folder(spark, "warc-whole"), work_folder(spark, "warc-members")
     warc.write_archives(table(spark, sf_dir, "pages"), whole)
@@ -20,6 +24,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.detected(table(spark, sf_dir, "documents"))
+    counts = [f"n_{kind}" for kind in pii.BASE]
+    return rows.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     tokens = bpe.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -41,6 +51,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.scored(docs, toxicity.fit(docs, labels))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -58,9 +73,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op2_warc, op4_bpe, op6_exact_dedup, op7_packing, op9_topk, op10_sharding)
-}
+_ALL = (
+    op1_quality,
+    op2_warc,
+    op3_pii,
+    op4_bpe,
+    op6_exact_dedup,
+    op7_packing,
+    op8_toxicity,
+    op9_topk,
+    op10_sharding,
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in _ALL}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
