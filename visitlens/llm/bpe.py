@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from visitlens.llm.common import shuffle_parts, whole_text
 from visitlens.llm.pretokens import splitter
 
-BLOCK_BYTES = 16 << 20
-CACHED_WORDS = 400_000
+BLOCK_BYTES = 12 << 20
+CACHED_WORDS = 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
