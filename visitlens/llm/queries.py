@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlens.llm import bpe, exact_dedup, packing, pii, quality, sharding, topk, toxicity, warc
+from visitlens.llm import bpe, exact_dedup, packing, pii, quality, sharding, shingle_join, topk, toxicity, warc
 from visitlens.llm.common import table, work_folder
 
 
@@ -41,6 +41,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.linked(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -73,16 +77,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it stands beside the package and imports from it
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _ALL = (
     op1_quality,
     op2_warc,
     op3_pii,
     op4_bpe,
+    op5_jaccard,
     op6_exact_dedup,
     op7_packing,
     op8_toxicity,
     op9_topk,
     op10_sharding,
+    pipeline,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in _ALL}
