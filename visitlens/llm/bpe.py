@@ -69,8 +69,23 @@ def by_part(words: set[str], parts: int) -> dict[int, list[str]]:
     return {part: sorted(found) for part, found in dealt.items()}
 
 
-def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids``: ids as little-endian unsigned 32-bit integers."""
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The token-byte table: place i holds the bytes of token i."""
+    table = {i: data for data, i in ranks.items()}
+    return [table.get(i) for i in range(max(table) + 1)]
+
+
+def joined_bytes(ids: bytes, table: list[bytes | None]) -> bytes:
+    """Every id of a document joined to its bytes, in order."""
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_decoded: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids``: ids as little-endian unsigned 32-bit integers.
+
+    ``with_decoded`` adds what ``decoded`` would, in the same task: ids of a whole corpus
+    are larger than its text, and so do not go to a second Python process.
+    """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
@@ -124,14 +139,17 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for part, cell in zip(coded["part"], coded["ids"], strict=True):
             ids_of.update(zip(dealt[part], unpack_cells(cell, 4), strict=True))
         ids = [b"".join(map(ids_of.__getitem__, split(one))) for one in rows["text"]]
-        return pd.DataFrame(
-            {"doc_id": rows["doc_id"].array, "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
-        )
+        out = {"doc_id": rows["doc_id"].array, "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+        if with_decoded:
+            table = token_bytes(ranks.value)
+            out["decoded"] = [joined_bytes(x, table) for x in ids]
+        return pd.DataFrame(out)
 
     words = dealt.groupBy("block").applyInPandas(distinct_words, "block long, part int, words binary")
     coded = words.repartition(parts, "part").mapInArrow(encode_words, "block long, part int, ids binary")
     both = dealt.groupBy("block").cogroup(coded.groupBy("block"))
-    return both.applyInPandas(put_together, "doc_id long, n_tokens long, ids binary")
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * with_decoded
+    return both.applyInPandas(put_together, schema)
 
 
 def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:
@@ -140,17 +158,13 @@ def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:
     A hash join by hand, one probe a token: the table of the vocabulary's tokens goes to
     every task once.
     """
-    table = {i: data for data, i in read_ranks(ranks_path).items()}
-    shared = tokens.sparkSession.sparkContext.broadcast([table.get(i) for i in range(max(table) + 1)])
+    shared = tokens.sparkSession.sparkContext.broadcast(token_bytes(read_ranks(ranks_path)))
     schema = f"{', '.join(f'{n} {t}' for n, t in tokens.dtypes)}, decoded binary"
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = shared.value
         for batch in batches:
-            cells = [
-                b"".join(map(bytes_of.__getitem__, np.frombuffer(ids.as_buffer(), "<u4").tolist()))
-                for ids in batch.column("ids")
-            ]
+            cells = [joined_bytes(ids.as_buffer(), bytes_of) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cells, pa.binary())], names=[*batch.schema.names, "decoded"]
             )

@@ -32,8 +32,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = bpe.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.decoded(tokens, path).select(
+    docs = table(spark, sf_dir, "documents")
+    tokens = bpe.encoded(docs, path, public_tokenizers.PATTERN, with_decoded=True)
+    return tokens.select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
