@@ -24,7 +24,8 @@ PREFIX_CHARS = 256
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False
 ) -> DataFrame:
-    """Per row: ``doc_id, keep_id, group_size, kept, settled_by, text_sha256``.
+    """Per row: ``doc_id, keep_id, group_size, kept, settled_by, text_sha256,
+    text_hash``.
 
     The digest is that of the normalised text; rows settled by length or prefix have none
     unless ``digest_all`` asks for it.
@@ -52,6 +53,7 @@ def exact_groups(
     digest = F.sha2(lowered(F.col("text")), 256)
     hashed = met.select(
         "doc_id",
+        F.xxhash64("text").alias("text_hash"),
         F.coalesce("open", F.lit(False)).alias("open"),
         (digest if digest_all else F.when(F.col("open"), digest)).alias("text_sha256"),
     )
@@ -72,11 +74,17 @@ def exact_groups(
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.when(F.col("open"), "content").otherwise("length or prefix").alias("settled_by"),
         "text_sha256",
+        "text_hash",
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    kept = docs.join(groups, docs.doc_id.eqNullSafe(F.col("_kept_id")), "left_semi")
+    groups = exact_groups(docs).where("kept").select(
+        F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")
+    )
+    same = docs.doc_id.eqNullSafe(F.col("_kept_id")) & (
+        F.xxhash64(whole_text()) == F.col("_kept_hash")
+    )
+    kept = docs.join(groups, same, "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])

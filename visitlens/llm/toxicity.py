@@ -30,7 +30,7 @@ PER_CLASS = 4_000
 VOCABULARY = 1_000
 LEAST_DOCS = 4
 MARGIN = 6.0
-SWAP_PENALTY = 1.0
+SWAP_PENALTY = 20.0
 L2 = 1e-4
 
 # Group terms by kind, in the four languages; terms of a line are swapped.
