@@ -45,9 +45,8 @@ def gzip_member(data: bytes, level: int = LEVEL) -> bytes:
 EMPTY_MEMBER = gzip_member(b"")
 
 
-def sha1_base32(payload: Column) -> Column:
+def base32_of_hex(hexed: Column) -> Column:
     """Five hex digits are 20 bits, which are four base32 digits."""
-    hexed = F.sha1(payload)
     return F.array_join(
         F.transform(
             F.sequence(F.lit(0), F.lit(31)),
@@ -83,7 +82,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
         ).alias("url"),
         F.coalesce(F.col("html"), F.lit("")).alias("payload"),
     )
-    rows = rows.withColumn("digest", sha1_base32(F.encode("payload", "UTF-8")))
+    rows = rows.withColumn("digest", F.sha1(F.encode("payload", "UTF-8")))
     repeated = (
         rows.groupBy("digest")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
@@ -111,7 +110,7 @@ def record_text(rows: DataFrame) -> DataFrame:
         F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "),
         F.col("url"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
-        F.col("digest"),
+        base32_of_hex(F.col("digest")),  # past the join, so that the hash is not taken again
         F.when(
             revisit,
             F.concat(
