@@ -17,7 +17,8 @@ _VIEWS = {
                  WHEN 0 THEN 24 WHEN 1 THEN 240 WHEN 2 THEN 2400 ELSE 20000 END AS off
         FROM e0""",
     "user_visit_action": """
-        SELECT day AS date, user_id,
+        SELECT day AS date,
+               CASE WHEN user_id % 11 = 10 THEN user_id + 1000000000 ELSE user_id END AS user_id,
                user_id || '-' || CASE user_id % 7
                  WHEN 0 THEN 'm' || mon
                  WHEN 1 THEN 'h' || mon || '.' || (dom // 16)
@@ -45,7 +46,7 @@ _VIEWS = {
                CAST((c_custkey * 7) % 60 AS INTEGER) AS age, c_mktsegment AS professional,
                'NATION_' || c_nationkey AS city,
                CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS sex
-        FROM customer WHERE c_custkey % 11 <> 10""",
+        FROM customer""",
     "city_info": """
         SELECT CAST(n_nationkey AS BIGINT) AS city_id, n_name AS city_name, r_name AS area
         FROM nation JOIN region ON n_regionkey = r_regionkey""",

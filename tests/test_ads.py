@@ -79,3 +79,15 @@ def test_click_trend_has_two_digit_parts(spark):
         clicks(spark, (65, "P", "C", 1, 9), (119, "P", "C", 2, 9), (120, "P", "C", 2, 9))
     )
     assert values(got) == [("2024-01-01", "00", "01", 9, 2), ("2024-01-01", "00", "02", 9, 1)]
+
+
+def test_broken_lines_are_rejected_with_a_reason(spark):
+    from visitlens.sources.adlog import parse_ad_lines, rejected_ad_lines
+
+    good = "1704067200000 A b 1 2"
+    lines = spark.createDataFrame(
+        [(good,), ("9223372036854775807 A b 1 2",), ("soon A b 1 2",), ("",), (None,)], "value string"
+    )
+    assert parse_ad_lines(lines).count() == 1
+    reasons = [r.reason for r in rejected_ad_lines(lines).collect()]
+    assert sorted(reasons) == ["empty line", "empty line", "time is no number", "time out of range"]

@@ -35,3 +35,12 @@ def test_seconds_between_is_signed_whole_seconds(spark):
 
 def test_day_before_a_run_date():
     assert times.day_before("2024-03-01") == "2024-02-29"
+
+
+def test_unreadable_time_is_null(spark):
+    from pyspark.sql import functions as F
+
+    from visitlens.functions.times import parse_time
+
+    rows = spark.createDataFrame([("2024-01-01 5:03:04",), ("soon",), (None,)], "t string")
+    assert [r[0] is None for r in rows.select(parse_time(F.col("t"))).collect()] == [False, True, True]

@@ -16,8 +16,9 @@ MINUTE_KEY_FORMAT = "yyyyMMddHHmm"
 
 
 def parse_time(text: Column | str) -> Column:
-    """Text time to timestamp. The cast takes one-digit hours too and needs no formatter."""
-    return F.col(text).cast("timestamp") if isinstance(text, str) else text.cast("timestamp")
+    """Text time to timestamp, NULL where it cannot be read. The cast takes one-digit hours
+    too and needs no formatter."""
+    return (F.col(text) if isinstance(text, str) else text).try_cast("timestamp")
 
 
 def format_time(ts: Column | str) -> Column:

@@ -12,7 +12,8 @@ def _touched_categories(actions: DataFrame) -> DataFrame:
     """One row (session, kind, category) per category clicked, ordered or paid.
 
     All three kinds come from one scan. The id lists are exploded as text and cast
-    afterwards: plain generators compile to code, a lambda over an array would not.
+    afterwards: plain generators compile to code, a lambda over an array would not. An id
+    that is no number names no category and is left out.
     """
     lists = {
         "click": F.array(F.col("click_category_id").cast("string")),
@@ -28,7 +29,7 @@ def _touched_categories(actions: DataFrame) -> DataFrame:
         .select("session_id", F.inline(F.array(*marked)))
         .where("ids IS NOT NULL")
         .select("session_id", "kind", F.explode("ids").alias("id"))
-        .selectExpr("session_id", "kind", "bigint(nullif(trim(id), '')) AS category_id")
+        .selectExpr("session_id", "kind", "try_cast(trim(id) AS bigint) AS category_id")
         .where("category_id IS NOT NULL")
     )
 

@@ -45,8 +45,12 @@ def _first_value(params: Column, key: str) -> Column:
 def task_parameters(tasks: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """One row per task with its parameters as typed columns; lists stay comma separated.
 
-    ``mode`` is Spark's JSON mode: broken JSON gives NULL parameters, or stops the query.
+    ``mode`` is Spark's JSON mode: broken JSON gives NULL parameters, or stops the query. So
+    does an age that is no number.
     """
+    def number(value: Column) -> Column:
+        return value.cast("int") if mode == "FAILFAST" else value.try_cast("int")
+
     params = F.from_json("task_param", "map<string,array<string>>", {"mode": mode})
     parsed = tasks.select("task_id", params.alias("p"))
     p = F.col("p")
@@ -54,8 +58,8 @@ def task_parameters(tasks: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
         "task_id",
         _first_value(p, START_DATE).alias("start_date"),
         _first_value(p, END_DATE).alias("end_date"),
-        _first_value(p, START_AGE).cast("int").alias("start_age"),
-        _first_value(p, END_AGE).cast("int").alias("end_age"),
+        number(_first_value(p, START_AGE)).alias("start_age"),
+        number(_first_value(p, END_AGE)).alias("end_age"),
         _first_value(p, PROFESSIONALS).alias("professionals"),
         _first_value(p, CITIES).alias("cities"),
         _first_value(p, SEX).alias("sex"),

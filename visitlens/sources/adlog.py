@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,11 +22,30 @@ def file_ad_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.readStream.options(**options).text(path)
 
 
+# The largest time that microseconds in 64 bits can hold.
+LAST_MILLI = (2**63 - 1) // 1000
+
+
+def _click_time(text: Column) -> Column:
+    """Epoch milliseconds to a timestamp; NULL for no number or one out of range."""
+    milli = text.try_cast("bigint")
+    return F.timestamp_millis(F.when(milli.between(-LAST_MILLI, LAST_MILLI), milli))
+
+
+def rejected_ad_lines(lines: DataFrame) -> DataFrame:
+    """``value, reason`` of the lines that ``parse_ad_lines`` leaves out, for an output of their own."""
+    first = F.get(F.split("value", " "), F.lit(0))
+    milli = first.try_cast("bigint")
+    reason = F.when(F.col("value").isNull() | (F.trim("value") == ""), "empty line")
+    reason = reason.when(milli.isNull(), "time is no number").otherwise("time out of range")
+    return lines.where(_click_time(first).isNull()).select("value", reason.alias("reason"))
+
+
 def parse_ad_lines(lines: DataFrame) -> DataFrame:
     """``timestamp_ms province city userId adId`` to typed columns.
 
     Casts are ``try_cast``: a broken line does not stop a stream. A line without a readable
-    time is no click; other unreadable fields are NULL.
+    time is no click (see ``rejected_ad_lines``); other unreadable fields are NULL.
     """
     part = F.split("value", " ")
 
@@ -34,7 +53,7 @@ def parse_ad_lines(lines: DataFrame) -> DataFrame:
         return F.get(part, F.lit(i))
 
     clicks = lines.select(
-        F.timestamp_millis(field(0).try_cast("bigint")).alias("click_time"),
+        _click_time(field(0)).alias("click_time"),
         field(1).alias("province"),
         field(2).alias("city"),
         field(3).try_cast("bigint").alias("user_id"),
