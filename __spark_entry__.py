@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -412,6 +413,9 @@ else:
 def _in_utc(query: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        local = spark.sparkContext.master.startswith("local[")
+        if local and not spark.conf.get("spark.checkpoint.dir", None):
+            spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="visitlens-"))
         return query(spark, sf_dir)
 
     return run

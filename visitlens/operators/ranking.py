@@ -7,11 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this n, the per-task group limit that Spark plans below the shuffle sends few
-# enough rows per group to one task. Above it, a salted round thins a hot group first.
-DIRECT_LIMIT = 200
-SALTS = 64
-
 
 def first_per_group(
     df: DataFrame,
@@ -20,19 +15,18 @@ def first_per_group(
     n: int,
     row_key: Sequence[str],
     rank: str = "row_rank",
+    salts: int = 64,
 ) -> DataFrame:
     """Rows 1..n of each group in ``order``, numbered in column ``rank``.
 
     ``order`` must be total inside a group. ``row_key`` names columns that identify a row
-    in its group; for a large n they spread a group over salts, whose first n rows each
-    contain the first n rows of the whole group.
+    in its group; they spread a group over ``salts``, whose first n rows each contain the
+    first n rows of the whole group.
     """
 
     def cut(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         window = Window.partitionBy(*keys).orderBy(*order)
         return rows.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 
-    if n > DIRECT_LIMIT:
-        salted = df.withColumn("salt", F.pmod(F.xxhash64(*row_key), F.lit(SALTS)))
-        df = cut(salted, [*groups, "salt"]).drop("salt", rank)
-    return cut(df, groups)
+    salted = df.withColumn("salt", F.pmod(F.xxhash64(*row_key), F.lit(salts)))
+    return cut(cut(salted, [*groups, "salt"]).drop("salt", rank), groups)

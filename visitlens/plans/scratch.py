@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master may do without the setting, as in tests: a folder of one machine
-    is of no use to executors on others.
+    The caller names that folder; one of a single machine's disk serves a ``local[...]``
+    master only.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="visitlens-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return f"{base.rstrip('/')}/{purpose}-{uuid4().hex}"
 
 
