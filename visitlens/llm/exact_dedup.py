@@ -65,7 +65,13 @@ def exact_groups(
         .where("n > 1")
         .withColumnRenamed("text_sha256", "sha")
     )
-    found = hashed.join(groups, hashed.text_sha256 == groups.sha, "left")
+    # Settled rows have no digest to join by; they pass the join by, or would meet in one task.
+    settled = hashed.where("NOT open").select(
+        "*", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("top"),
+        F.lit(None).cast("long").alias("n"),
+    )
+    is_open = hashed.where("open")
+    found = is_open.join(groups, is_open.text_sha256 == groups.sha, "left").unionByName(settled)
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top"))
     return found.select(
         "doc_id",
