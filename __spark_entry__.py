@@ -15,7 +15,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracle_texts  # noqa: E402
 from visitlens import schemas  # noqa: E402
-from visitlens.functions.times import format_date, format_time  # noqa: E402
+from visitlens.functions.times import (  # noqa: E402
+    date_key,
+    format_date,
+    format_time,
+    minute_key,
+    parse_date_key,
+    parse_time,
+)
 from visitlens.operators import (  # noqa: E402
     ads,
     categories,
@@ -27,8 +34,10 @@ from visitlens.operators import (  # noqa: E402
     upserts,
 )
 from visitlens.params import SessionTask, task_parameters  # noqa: E402
+from visitlens.plans import jobs  # noqa: E402
 from visitlens.plans.scratch import shared_folder, stored  # noqa: E402
-from visitlens.sinks.files import append_rows, overwrite_groups, read_table  # noqa: E402
+from visitlens.sinks.files import append_rows, read_replaced, read_table  # noqa: E402
+from visitlens.sinks.files import replace_groups as replace_stored_groups  # noqa: E402
 from visitlens.sources import testtables as tables  # noqa: E402
 from visitlens.sources.adlog import file_ad_lines, parse_ad_lines  # noqa: E402
 from visitlens.sources.tables import actions_in_dates, product_status  # noqa: E402
@@ -48,6 +57,7 @@ FILTER_TASK = SessionTask(
     category_ids=tuple(range(10, 60)),
 )
 SCAN_DATES = ("2024-01-05", "2024-01-20")
+RUN_DATE = "2024-01-11"
 PER_DAY = 5
 SEED = "1"
 PAGE_FLOW = (1, 2, 3, 3, 4)
@@ -84,6 +94,23 @@ def action_scan_date_range(spark, d):
     return actions_in_dates(tables.user_visit_action(spark, d, *SCAN_DATES), *SCAN_DATES)
 
 
+def action_scan_day_before(spark, d):
+    """What a job of the run date reads: the day before it."""
+    task = jobs.for_day_before(OPEN_TASK, RUN_DATE)
+    actions = tables.user_visit_action(spark, d, task.start_date, task.end_date)
+    return actions_in_dates(actions, task.start_date, task.end_date)
+
+
+def action_count_by_minute(spark, d):
+    """Actions per minute, under the date and minute keys."""
+    acted = parse_time("action_time")
+    rows = tables.user_visit_action(spark, d).select(
+        date_key(acted).alias("date_key"), minute_key(acted).alias("minute_key")
+    )
+    counted = rows.groupBy("date_key", "minute_key").agg(F.count("*").alias("action_count"))
+    return counted.withColumn("date", format_date(parse_date_key("date_key")))
+
+
 def product_status_scan(spark, d):
     return product_status(tables.product_info(spark, d))
 
@@ -227,17 +254,11 @@ def ad_click_trend(spark, d):
 # Upserts and sinks. "Stored" is what was known at the cut time; a batch comes after it.
 
 
-def _place_counts(clicks: DataFrame) -> DataFrame:
-    return clicks.groupBy(
-        format_date("click_time").alias("date"), "province", "city", "ad_id"
-    ).agg(F.count("*").alias("click_count"))
-
-
 def _stored_and_batch(spark, d):
     """Counts up to the cut time, and the full counts of the dates from the cut date on."""
     clicks = _clicks(spark, d)
-    before = _place_counts(clicks.where(F.col("click_time") < CUT_TIME))
-    batch = _place_counts(clicks.where(F.col("click_time") >= CUT_DATE))
+    before = ads.place_counts(clicks.where(F.col("click_time") < CUT_TIME))
+    batch = ads.place_counts(clicks.where(F.col("click_time") >= CUT_DATE))
     return before, batch
 
 
@@ -282,11 +303,22 @@ def sink_append(spark, d):
 
 
 def sink_replace_groups(spark, d):
+    """Two writes; the second has every date from the cut date on whole, and replaces it."""
     path = shared_folder(spark, "sink-replace-groups")
-    before, batch = _stored_and_new_top3(spark, d)
-    overwrite_groups(before, path, ["date", "province"])
-    overwrite_groups(batch, path, ["date", "province"])
-    return read_table(spark, path, schemas.AD_PROVINCE_TOP3)
+    for counts in _stored_and_batch(spark, d):
+        counts = stored(spark, counts, "place-counts")
+        replace_stored_groups(ads.province_top3(counts), counts, path, ["date"])
+    return read_replaced(spark, path, schemas.AD_PROVINCE_TOP3)
+
+
+def ad_statistics_rerun(spark, d):
+    """The ad job over all clicks, then again from the cut date on without the clicks before
+    the cut time, which leaves that date fewer groups."""
+    out = shared_folder(spark, "ad-statistics")
+    clicks = _clicks(spark, d)
+    jobs.ad_statistics(spark, clicks, BLACKLIST_AT, out)
+    jobs.ad_statistics(spark, clicks.where(F.col("click_time") >= CUT_TIME), BLACKLIST_AT, out)
+    return read_replaced(spark, f"{out}/ad_stat", schemas.AD_STAT)
 
 
 # Streams. The lines arrive in thirds of a month; each arrival is one batch.
@@ -319,48 +351,50 @@ def _replay(
         query.awaitTermination()
 
 
+_AD_RUNS: dict[tuple[str, str], str] = {}
+
+
+def _ad_tables(spark: SparkSession, d: str) -> str:
+    """The folder that one run of the ad stream over all lines keeps; its tables are read by
+    several queries of a session."""
+    run = (spark.sparkContext.applicationId, d)
+    if run not in _AD_RUNS:
+        out = shared_folder(spark, "ad-tables")
+        _replay(spark, d, lambda c, at: streams.ad_stream(c, BLACKLIST_AT, out, at))
+        _AD_RUNS[run] = out
+    return _AD_RUNS[run]
+
+
 def stream_ad_stat(spark, d):
-    table = shared_folder(spark, "ad-stat")
-    blacklist = stored(spark, ad_blacklist(spark, d), "blacklist")
-    _replay(spark, d, lambda c, at: streams.ad_stat_stream(c, blacklist, table, at))
-    return streams.read_ad_stat(spark, table)
+    return streams.read_ad_stat(spark, _ad_tables(spark, d))
 
 
 def stream_ad_user_click_count(spark, d):
-    table = shared_folder(spark, "ad-user-click-count")
-    _replay(spark, d, lambda c, at: streams.user_click_count_stream(c, table, at))
-    return streams.read_user_click_counts(spark, table)
+    return streams.read_user_click_counts(spark, _ad_tables(spark, d))
 
 
 def stream_ad_clicks_allowed(spark, d):
-    counts, blacklist, allowed = (
-        shared_folder(spark, name) for name in ("counts", "blacklist", "allowed")
-    )
-    _replay(
-        spark,
-        d,
-        lambda c, at: streams.allowed_clicks_stream(
-            c, BLACKLIST_AT, counts, blacklist, allowed, at
-        ),
-    )
-    return _shown_clicks(streams.read_allowed_clicks(spark, allowed))
+    return _shown_clicks(streams.read_allowed_clicks(spark, _ad_tables(spark, d)))
 
 
 def stream_ad_province_top3(spark, d):
-    stat, top3 = (shared_folder(spark, name) for name in ("ad-stat", "ad-province-top3"))
-    blacklist = stored(spark, ad_blacklist(spark, d), "blacklist")
-    _replay(spark, d, lambda c, at: streams.province_top3_stream(c, blacklist, stat, top3, at))
-    return read_table(spark, top3, schemas.AD_PROVINCE_TOP3)
+    return streams.read_province_top3(spark, _ad_tables(spark, d))
+
+
+def stream_ad_blacklist(spark, d):
+    return streams.read_blacklist(spark, _ad_tables(spark, d))
 
 
 def stream_ad_click_trend(spark, d):
-    table = shared_folder(spark, "ad-click-trend")
-    _replay(spark, d, lambda c, at: streams.click_trend_stream(c, table, at))
-    return streams.read_click_trend(spark, table)
+    out = shared_folder(spark, "ad-click-trend")
+    _replay(spark, d, lambda c, at: streams.click_trend_stream(c, out, at))
+    return streams.read_click_trend(spark, out)
 
 
 _QUERIES = (
     action_scan_date_range,
+    action_scan_day_before,
+    action_count_by_minute,
     product_status_scan,
     task_params,
     session_aggregate,
@@ -394,10 +428,12 @@ _QUERIES = (
     replace_groups,
     sink_append,
     sink_replace_groups,
+    ad_statistics_rerun,
     stream_ad_stat,
     stream_ad_user_click_count,
     stream_ad_clicks_allowed,
     stream_ad_province_top3,
+    stream_ad_blacklist,
     stream_ad_click_trend,
 )
 

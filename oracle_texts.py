@@ -262,8 +262,8 @@ _USER_COUNTS = "SELECT date, user_id, ad_id, click_count FROM user_counts"
 # An arrival (third of a month) is one batch. Counts of allowed clicks grow batch by
 # batch; a user is on the list from the batch after the one that reached the threshold.
 # A (date, ad) count grows only in the batch of its date, so that batch is known at once.
-_ALLOWED_STREAM = """
-    SELECT click_ms, province, city, c.user_id, ad_id FROM clicks c
+_PASSED = """
+    SELECT c.* FROM clicks c
     LEFT JOIN (
       SELECT user_id, min(substr(date, 1, 7) || '.' ||
                least((CAST(substr(date, 9, 2) AS INTEGER) - 1) // 10, 2)) AS listed_in
@@ -272,6 +272,35 @@ _ALLOWED_STREAM = """
       least((CAST(substr(date, 9, 2) AS INTEGER) - 1) // 10, 2) <= listed_in"""
 
 
+_STREAMED = _with(
+    "e0 city_info clicks user_counts",
+    "{body}",
+    passed=_PASSED,
+    passed_stat="""SELECT date, province, city, ad_id, count(*) AS click_count
+        FROM passed GROUP BY date, province, city, ad_id""",
+)
+
+
+def _streamed(body: str) -> str:
+    return _STREAMED.replace("{body}", body)
+
+
+# A click counts unless its user was listed on its date or before.
+_RERUN = {
+    "final_clicks": """SELECT * FROM clicks
+        WHERE click_time < TIMESTAMP '2024-01-16' OR click_time >= TIMESTAMP '2024-01-16 12:00:00'""",
+    "listed": """SELECT user_id, min(date) AS listed_on FROM (
+          SELECT date, user_id, ad_id FROM final_clicks WHERE user_id IS NOT NULL
+          GROUP BY date, user_id, ad_id HAVING count(*) >= 3)
+        GROUP BY user_id""",
+}
+_RERUN_STAT = """
+    SELECT date, province, city, ad_id, count(*) AS click_count
+    FROM final_clicks c LEFT JOIN listed l ON c.user_id = l.user_id
+    WHERE listed_on IS NULL OR date < listed_on
+    GROUP BY date, province, city, ad_id"""
+
+
 def _when(test: str, value: str) -> str:
     return f"CASE WHEN {test} THEN {value} END"
 
@@ -306,6 +335,17 @@ def oracle_sql() -> dict[str, str]:
             _ACTIONS,
             "SELECT * FROM user_visit_action WHERE date BETWEEN '2024-01-05' AND '2024-01-20'",
         ),
+        "action_scan_day_before": _with(
+            _ACTIONS, "SELECT * FROM user_visit_action WHERE date = '2024-01-10'"
+        ),
+        "action_count_by_minute": _with(
+            _ACTIONS,
+            """SELECT strftime(CAST(action_time AS TIMESTAMP), '%Y%m%d') AS date_key,
+                      strftime(CAST(action_time AS TIMESTAMP), '%Y%m%d%H%M') AS minute_key,
+                      count(*) AS action_count,
+                      strftime(CAST(action_time AS TIMESTAMP), '%Y-%m-%d') AS date
+               FROM user_visit_action GROUP BY 1, 2, 4""",
+        ),
         "product_status_scan": """
             SELECT p_partkey AS product_id, p_name AS product_name,
                    CAST(p_partkey % 2 AS VARCHAR) AS product_status FROM part""",
@@ -447,10 +487,24 @@ def oracle_sql() -> dict[str, str]:
         "upsert_accumulate": counts_sql,
         "replace_groups": replaced_sql,
         "sink_append": counts_sql,
-        "sink_replace_groups": replaced_sql,
-        "stream_ad_stat": stat_sql,
-        "stream_ad_user_click_count": counts_sql,
-        "stream_ad_clicks_allowed": _with(f"{_CLICKS} user_counts", _ALLOWED_STREAM),
-        "stream_ad_province_top3": top3_sql,
+        "sink_replace_groups": _with(
+            f"{_CLICKS} before batch",
+            """SELECT * FROM new_top3
+               UNION ALL
+               SELECT * FROM old_top3 WHERE date NOT IN (SELECT date FROM batch)""",
+            **_OLD_NEW_TOP3,
+        ),
+        "ad_statistics_rerun": _with(_CLICKS, _RERUN_STAT, **_RERUN),
+        "stream_ad_stat": _streamed("SELECT * FROM passed_stat"),
+        "stream_ad_user_click_count": _streamed(
+            "SELECT date, user_id, ad_id, count(*) AS click_count FROM passed GROUP BY ALL"
+        ),
+        "stream_ad_clicks_allowed": _streamed(
+            "SELECT click_ms, province, city, user_id, ad_id FROM passed"
+        ),
+        "stream_ad_blacklist": _streamed(
+            "SELECT DISTINCT user_id FROM user_counts WHERE click_count >= 3 AND user_id IS NOT NULL"
+        ),
+        "stream_ad_province_top3": _streamed(_TOP3.format(source="passed_stat")),
         "stream_ad_click_trend": _with(_CLICKS, _TREND),
     }

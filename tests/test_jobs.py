@@ -9,6 +9,7 @@ from visitlens import schemas
 from visitlens.operators import ads, sampling, sessions, stats
 from visitlens.params import SessionTask
 from visitlens.plans import jobs
+from visitlens.sinks.files import read_replaced
 from visitlens.sources import testtables as tables
 from visitlens.sources.adlog import parse_ad_lines
 
@@ -35,26 +36,28 @@ def test_session_analysis(spark, inputs, tmp_path):
     jobs.session_analysis(spark, actions, users, TASK, out, per_day=4)
     chosen = sessions.filtered_sessions(actions, users, TASK)
 
-    stat = spark.read.parquet(f"{out}/session_aggr_stat")
-    assert values(stat) == values(stats.session_aggr_stat(chosen, 8))
-    sample = spark.read.parquet(f"{out}/session_random_extract")
+    stat = spark.read.parquet(f"{out}/session_aggr_stat").where("is_row").drop("is_row")
+    expected = stats.session_aggr_stat(chosen, 8)
+    assert values(stat, *expected.columns) == values(expected)
+    sample = read_replaced(spark, f"{out}/session_random_extract", schemas.SESSION_RANDOM_EXTRACT)
     assert typed(sample) == schemas.SESSION_RANDOM_EXTRACT
     assert values(sample) == values(sampling.session_random_extract(chosen, 4, "8", 8))
-    detail = spark.read.parquet(f"{out}/session_detail")
+    detail = read_replaced(spark, f"{out}/session_detail", schemas.SESSION_DETAIL)
     assert typed(detail) == schemas.SESSION_DETAIL
     assert {r.sessionid for r in detail.collect()} == {r.sessionid for r in sample.collect()}
     in_range = actions.where("date >= '2024-01-03'").join(
         sample.selectExpr("sessionid AS session_id"), "session_id", "left_semi"
     )
     assert detail.count() == in_range.count()
-    assert typed(spark.read.parquet(f"{out}/top10_category")) == schemas.TOP10_CATEGORY
-    best = spark.read.parquet(f"{out}/top10_category_session")
+    assert typed(read_replaced(spark, f"{out}/top10_category", schemas.TOP10_CATEGORY)) == schemas.TOP10_CATEGORY
+    best = read_replaced(spark, f"{out}/top10_category_session", schemas.TOP10_CATEGORY_SESSION)
     assert typed(best) == schemas.TOP10_CATEGORY_SESSION
-    hours = spark.read.parquet(f"{out}/session_count_by_hour")
+    hours = spark.read.parquet(f"{out}/session_count_by_hour").where("is_row").drop("is_row")
     assert hours.groupBy().sum("session_count").collect()[0][0] == chosen.count()
 
-    jobs.session_analysis(spark, actions, users, SessionTask(task_id=9), out, per_day=4)
-    again = spark.read.parquet(f"{out}/session_aggr_stat")
+    for _ in range(2):  # a task that runs again replaces its own rows
+        jobs.session_analysis(spark, actions, users, SessionTask(task_id=9), out, per_day=4)
+    again = spark.read.parquet(f"{out}/session_aggr_stat").where("is_row").drop("is_row")
     assert [r.taskid for r in again.orderBy("taskid").collect()] == [8, 9]
 
 
@@ -62,13 +65,13 @@ def test_page_and_area_jobs(spark, inputs, tmp_path):
     actions, _ = inputs
     out = str(tmp_path)
     jobs.page_conversion(actions, TASK, out)
-    pages = spark.read.parquet(f"{out}/page_split_convert_rate")
+    pages = read_replaced(spark, f"{out}/page_split_convert_rate", schemas.PAGE_SPLIT_CONVERT_RATE)
     assert typed(pages) == schemas.PAGE_SPLIT_CONVERT_RATE
     assert re.fullmatch(r"1_2=\d+\.\d+\|2_3=\d+\.\d+", pages.collect()[0].convertRate)
 
     cities, products = tables.city_info(spark, FOLDER), tables.product_info(spark, FOLDER)
     jobs.area_products(actions, cities, products, TASK, {"ASIA": "A"}, "B", out)
-    top = spark.read.parquet(f"{out}/area_top3_product")
+    top = read_replaced(spark, f"{out}/area_top3_product", schemas.AREA_TOP3_PRODUCT)
     assert typed(top) == schemas.AREA_TOP3_PRODUCT
     assert top.groupBy("area").count().where("count > 3").count() == 0
 
@@ -77,11 +80,11 @@ def test_ad_job_and_its_repetition(spark, tmp_path):
     clicks = parse_ad_lines(tables.ad_lines(spark, FOLDER, "2024-01-01", "2024-01-04"))
     out = str(tmp_path)
     counts = ads.user_click_counts(clicks)
-    blacklist = ads.blacklisted_users(counts, 3)
-    stat = ads.ad_stat(ads.place_user_counts(clicks), blacklist)
+    listings = ads.blacklistings(counts, 3)
+    stat = ads.ad_stat_by_listing(ads.place_user_counts(clicks), ads.first_listings(listings))
     expected = {
         "ad_user_click_count": (schemas.AD_USER_CLICK_COUNT, counts),
-        "ad_blacklist": (schemas.AD_BLACKLIST, blacklist),
+        "ad_blacklist": (jobs.LISTINGS, listings),
         "ad_stat": (schemas.AD_STAT, stat),
         "ad_province_top3": (schemas.AD_PROVINCE_TOP3, ads.province_top3(stat)),
         "ad_click_trend": (schemas.AD_CLICK_TREND, ads.click_trend(clicks)),
@@ -89,5 +92,44 @@ def test_ad_job_and_its_repetition(spark, tmp_path):
     for _ in range(2):  # running the same dates again changes nothing
         jobs.ad_statistics(spark, clicks, 3, out)
         for name, (schema, rows) in expected.items():
-            got = spark.read.schema(schema).parquet(f"{out}/{name}").distinct()
-            assert values(got, *columns(schema)) == values(rows, *columns(schema)), name
+            got = read_replaced(spark, f"{out}/{name}", schema)
+            assert values(got) == values(rows, *columns(schema)), name
+
+
+def _day(spark, *users_of_clicks, day=0):
+    from tests.test_ads import clicks
+
+    return clicks(spark, *[(day * 86400 + i, "P", "C", u, 9) for i, u in enumerate(users_of_clicks)])
+
+
+def _stat_total(spark, out):
+    rows = read_replaced(spark, f"{out}/ad_stat", schemas.AD_STAT)
+    return {r.date: r.click_count for r in rows.collect()}
+
+
+def test_rerun_of_a_corrected_day_can_empty_its_tables(spark, tmp_path):
+    out = str(tmp_path)
+    jobs.ad_statistics(spark, _day(spark, 1, 1, 2), 3, out)
+    assert _stat_total(spark, out) == {"2024-01-01": 3}
+    jobs.ad_statistics(spark, _day(spark, 1, 1, 1), 3, out)
+    assert _stat_total(spark, out) == {}
+    jobs.ad_statistics(spark, _day(spark, 1, 1, 2), 3, out)
+    assert _stat_total(spark, out) == {"2024-01-01": 3}
+    assert read_replaced(spark, f"{out}/ad_blacklist", jobs.LISTINGS).count() == 0
+
+
+def test_rerun_of_a_day_ignores_later_listings(spark, tmp_path):
+    out = str(tmp_path)
+    jobs.ad_statistics(spark, _day(spark, 1, 2), 3, out)
+    jobs.ad_statistics(spark, _day(spark, 1, 1, 1, 2, day=1), 3, out)
+    expected = {"2024-01-01": 2, "2024-01-02": 1}
+    assert _stat_total(spark, out) == expected
+    jobs.ad_statistics(spark, _day(spark, 1, 2), 3, out)
+    assert _stat_total(spark, out) == expected
+    jobs.ad_statistics(spark, _day(spark, 1, 3, day=2), 3, out)  # listed on an earlier day
+    assert _stat_total(spark, out) == expected | {"2024-01-03": 1}
+
+
+def test_task_over_the_day_before_its_run_date():
+    task = jobs.for_day_before(TASK, "2024-03-01")
+    assert (task.start_date, task.end_date, task.task_id) == ("2024-02-29", "2024-02-29", 8)

@@ -33,43 +33,56 @@ def test_overwrite_groups_leaves_other_groups(spark, tmp_path):
     assert values(got, *columns) == [("d1", "A", 3, 3), ("d1", "A_B", 7, 9), ("d2", "A/B =", 1, 1)]
 
 
+def test_replaced_group_can_become_empty(spark, tmp_path):
+    path = str(tmp_path / "t")
+    columns = ["date", "province", "ad_id", "click_count"]
+
+    def write(rows, dates):
+        touched = spark.createDataFrame([(d,) for d in dates], "date string")
+        rows = spark.createDataFrame(rows, schemas.AD_PROVINCE_TOP3)
+        files.replace_groups(rows, touched, path, ["date"])
+
+    write([("d1", "A", 1, 5), ("d2", "A", 2, 4)], ["d1", "d2"])
+    write([], ["d1"])
+    assert values(files.read_replaced(spark, path, schemas.AD_PROVINCE_TOP3)) == [("d2", "A", 2, 4)]
+    write([("d1", "B", 3, 1)], ["d1", "d1"])
+    got = files.read_replaced(spark, path, schemas.AD_PROVINCE_TOP3)
+    assert values(got, *columns) == [("d1", "B", 3, 1), ("d2", "A", 2, 4)]
+
+
+KEY = ("date", "province", "city", "ad_id")
+
+
+def _table(path, merge, by=("date",), every=5):
+    return batches.StateTable(path, schemas.AD_STAT, KEY, "click_count", merge, by, every)
+
+
 @pytest.mark.parametrize("by", [(), ("date",)])
 def test_batches_are_idempotent_and_merge_on_read(spark, tmp_path, by):
-    path = str(tmp_path / "t")
-    key = ("date", "province", "city", "ad_id")
-    batches.create(spark, path, schemas.AD_STAT, by)
-    assert batches.read_batches(spark, path, schemas.AD_STAT).count() == 0
     a, b, c = (("2024-01-01", "P", "C", ad) for ad in (1, 2, 3))
     first, second = _stat(spark, (*a, 5), (*b, 1)), _stat(spark, (*a, 7), (*c, 2))
-    batches.write_batch(first, path, 0, by)
-    for _ in range(2):  # the second batch is replayed
-        batches.write_batch(second, path, 1, by)
-    batches.create(spark, path, schemas.AD_STAT, by)  # there already: no effect
-
-    rows = batches.read_batches(spark, path, schemas.AD_STAT)
-    columns = [*key, "click_count"]
-    latest = [(*a, 7), (*b, 1), (*c, 2)]
-    sums = [(*a, 12), (*b, 1), (*c, 2)]
-    assert values(batches.read_latest(rows, key, ["click_count"]), *columns) == latest
-    assert values(batches.read_sums(rows, key, "click_count"), *columns) == sums
-    up_to = batches.read_batches(spark, path, schemas.AD_STAT, up_to=0)
-    assert values(up_to, *columns) == [(*a, 5), (*b, 1)]
-
-
-def test_compaction_starts_a_folder_that_later_batches_extend(spark, tmp_path):
-    old, new = str(tmp_path / "old"), str(tmp_path / "new")
-    key = ("date", "province", "city", "ad_id")
+    wanted = {"latest": [(*a, 7), (*b, 1), (*c, 2)], "sum": [(*a, 12), (*b, 1), (*c, 2)]}
+    for merge, rows in wanted.items():
+        table = _table(str(tmp_path / merge), merge, by)
+        table.write(first, 0)
+        for _ in range(2):  # the second batch is replayed
+            table.write(second, 1)
+        columns = [*KEY, "click_count"]
+        assert values(table.read(spark, 1), *columns) == rows
+        assert values(table.read(spark, 0), *columns) == [(*a, 5), (*b, 1)]
+        assert table.read(spark, -1).count() == 0
+
+
+@pytest.mark.parametrize(("merge", "total"), [("sum", 465), ("latest", 30)])
+def test_snapshots_bound_the_folders_that_a_reader_opens(spark, tmp_path, merge, total):
+    table = _table(str(tmp_path / "t"), merge)
     a = ("2024-01-01", "P", "C", 1)
-    for batch_id, count in enumerate((1, 2, 3)):
-        batches.write_batch(_stat(spark, (*a, count)), old, batch_id, ["date"])
-    merged = batches.read_sums(
-        batches.read_batches(spark, old, schemas.AD_STAT), key, "click_count"
-    )
-    batches.compact(merged, new, 2, ["date"])
-    batches.write_batch(_stat(spark, (*a, 10)), new, 3, ["date"])
-    rows = batches.read_batches(spark, new, schemas.AD_STAT)
-    assert values(batches.read_sums(rows, key, "click_count")) == [(*a, 16)]
-    assert values(rows, "batch", "click_count") == [(2, 6), (3, 10)]
+    for batch_id in range(30):
+        table.write(_stat(spark, (*a, batch_id + 1)), batch_id)
+        table.snapshot(spark, batch_id)
+        assert len(table.folders(batch_id)) <= table.every + 1
+    assert values(table.read(spark, 29), *KEY, "click_count") == [(*a, total)]
+    assert len(table.read(spark, 29).inputFiles()) == 5
 
 
 def test_shared_folder_follows_the_session_setting(spark):

@@ -3,10 +3,8 @@ from pyspark.errors import StreamingQueryException
 
 from tests.rows import values
 from tests.test_ads import clicks, lines
-from visitlens import schemas
 from visitlens.operators import ads
 from visitlens.sinks import batches
-from visitlens.sinks.files import read_table
 from visitlens.sources.adlog import file_ad_lines, parse_ad_lines
 from visitlens.streaming import ads as streams
 
@@ -30,88 +28,108 @@ def all_clicks(spark):
     return clicks(spark, *[row for rows in ARRIVALS for row in rows])
 
 
-def test_ad_stat_stream_equals_batch(spark, tmp_path):
-    blacklist = spark.createDataFrame([(3,)], schemas.AD_BLACKLIST)
-    table = str(tmp_path / "table")
-    run(spark, tmp_path, lambda c, at: streams.ad_stat_stream(c, blacklist, table, at))
-    expected = ads.ad_stat(ads.place_user_counts(all_clicks(spark)), blacklist)
-    assert values(streams.read_ad_stat(spark, table)) == values(expected)
+def ad_run(spark, tmp_path, out, arrivals=ARRIVALS, threshold=99, every=20):
+    run(spark, tmp_path, lambda c, at: streams.ad_stream(c, threshold, out, at, every), arrivals)
 
 
-def test_user_click_counts_add_up_and_replay_changes_nothing(spark, tmp_path):
-    table = str(tmp_path / "table")
-    run(spark, tmp_path, lambda c, at: streams.user_click_count_stream(c, table, at))
-    expected = values(ads.user_click_counts(all_clicks(spark)))
-    assert values(streams.read_user_click_counts(spark, table), *streams.USER_KEY, "click_count") == expected
-    # A stream that lost its checkpoint numbers its batches from 0 again: the same three
-    # arrivals give the same three folders.
-    (tmp_path / "again").mkdir()
-    run(spark, tmp_path / "again", lambda c, at: streams.user_click_count_stream(c, table, at))
-    assert values(streams.read_user_click_counts(spark, table), *streams.USER_KEY, "click_count") == expected
+def test_ad_tables_equal_the_batch_reports(spark, tmp_path):
+    out = str(tmp_path / "out")
+    ad_run(spark, tmp_path, out)
+    stat = ads.place_counts(all_clicks(spark))
+    expected = ads.user_click_counts(all_clicks(spark))
+    key = [*streams.USER_KEY, "click_count"]
+    assert values(streams.read_user_click_counts(spark, out), *key) == values(expected, *key)
+    key = [*streams.STAT_KEY, "click_count"]
+    assert values(streams.read_ad_stat(spark, out), *key) == values(stat, *key)
+    key = ["date", "province", "ad_id", "click_count"]
+    assert values(streams.read_province_top3(spark, out), *key) == values(ads.province_top3(stat), *key)
+
+
+def test_late_clicks_count(spark, tmp_path):
+    out = str(tmp_path / "out")
+    ad_run(spark, tmp_path, out, [[(9 * DAY, "P", "C", 1, 9)], [(5, "P", "C", 1, 9)]])
+    assert values(streams.read_ad_stat(spark, out), "date", "click_count") == [
+        ("2024-01-01", 1),
+        ("2024-01-10", 1),
+    ]
+
+
+def test_dates_follow_the_session_zone_as_in_batch(spark, tmp_path):
+    out = str(tmp_path / "out")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        ad_run(spark, tmp_path, out)
+        expected = values(ads.place_counts(all_clicks(spark)), *streams.STAT_KEY, "click_count")
+        assert values(streams.read_ad_stat(spark, out), *streams.STAT_KEY, "click_count") == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_blacklist_grows_and_filters_the_next_batch(spark, tmp_path):
-    counts, blacklist, allowed = (str(tmp_path / n) for n in ("counts", "blacklist", "allowed"))
-    run(
-        spark,
-        tmp_path,
-        lambda c, at: streams.allowed_clicks_stream(c, 3, counts, blacklist, allowed, at),
-    )
+    out = str(tmp_path / "out")
+    ad_run(spark, tmp_path, out, ARRIVALS[:1], threshold=3)
+    assert streams.read_blacklist(spark, out).count() == 0
+    ad_run(spark, tmp_path, out, ARRIVALS[1:], threshold=3)
     # User 1 reaches three clicks on (day 1, ad 9) in the second arrival, across batches.
-    assert values(streams.read_blacklist(spark, blacklist)) == [(1,)]
-    got = [r.user_id for r in streams.read_allowed_clicks(spark, allowed).collect()]
+    assert values(streams.read_blacklist(spark, out)) == [(1,)]
+    got = [r.user_id for r in streams.read_allowed_clicks(spark, out).collect()]
     assert sorted(got) == [1, 1, 1, 1, 2, 2, 2, 3]
-    after_first = streams.read_blacklist(spark, blacklist, up_to=0)
-    assert after_first.count() == 0
 
 
-@pytest.mark.parametrize("failing_call", [1, 2, 3])
+@pytest.mark.parametrize("failing_call", [1, 2, 3, 4])
 def test_batch_that_failed_half_way_is_replayed(spark, tmp_path, monkeypatch, failing_call):
-    """The second batch stops before one of its three writes, and the stream is restarted."""
-    counts, blacklist, allowed = (str(tmp_path / n) for n in ("counts", "blacklist", "allowed"))
-    real, calls = batches.write_batch, []
+    """The second batch stops before one of its writes, and the stream is restarted."""
+    out = str(tmp_path / "out")
+    real, calls = batches.StateTable.write, []
 
-    def failing(rows, path, batch_id, partition_by=()):
+    def failing(table, rows, batch_id):
         if batch_id == 1:
-            calls.append(path)
+            calls.append(table.path)
             if len(calls) == failing_call:
                 raise OSError("lost")
-        real(rows, path, batch_id, partition_by)
-
-    monkeypatch.setattr(batches, "write_batch", failing)
-
-    def build(c, at):
-        return streams.allowed_clicks_stream(c, 3, counts, blacklist, allowed, at)
+        real(table, rows, batch_id)
 
+    monkeypatch.setattr(batches.StateTable, "write", failing)
     with pytest.raises(StreamingQueryException):
-        run(spark, tmp_path, build, ARRIVALS[:2])
-    run(spark, tmp_path, build, [[]])
-    run(spark, tmp_path, build, ARRIVALS[2:])
-    assert values(streams.read_blacklist(spark, blacklist)) == [(1,)]
-    got = [r.user_id for r in streams.read_allowed_clicks(spark, allowed).collect()]
+        ad_run(spark, tmp_path, out, ARRIVALS[:2], threshold=3)
+    # What the failed batch has written is not seen.
+    assert streams.read_allowed_clicks(spark, out).count() == 3
+    ad_run(spark, tmp_path, out, [[]], threshold=3)
+    ad_run(spark, tmp_path, out, ARRIVALS[2:], threshold=3)
+    assert values(streams.read_blacklist(spark, out)) == [(1,)]
+    got = [r.user_id for r in streams.read_allowed_clicks(spark, out).collect()]
     assert sorted(got) == [1, 1, 1, 1, 2, 2, 2, 3]
 
 
-def test_province_top3_stream_equals_batch(spark, tmp_path):
-    blacklist = spark.createDataFrame([], schemas.AD_BLACKLIST)
-    stat, top3 = str(tmp_path / "stat"), str(tmp_path / "top3")
-    run(
-        spark, tmp_path, lambda c, at: streams.province_top3_stream(c, blacklist, stat, top3, at)
-    )
-    expected = ads.province_top3(ads.ad_stat(ads.place_user_counts(all_clicks(spark)), blacklist))
-    got = read_table(spark, top3, schemas.AD_PROVINCE_TOP3)
-    columns = ["date", "province", "ad_id", "click_count"]
-    assert values(got, *columns) == values(expected, *columns)
+def test_lost_checkpoint_is_refused(spark, tmp_path):
+    out = str(tmp_path / "out")
+    ad_run(spark, tmp_path, out)
+    before = values(streams.read_ad_stat(spark, out))
+    (tmp_path / "again").mkdir()
+    with pytest.raises(ValueError, match="another checkpoint"):
+        ad_run(spark, tmp_path / "again", out, [[row for rows in ARRIVALS for row in rows]])
+    assert values(streams.read_ad_stat(spark, out)) == before
+
+
+def test_broken_line_does_not_stop_the_stream(spark, tmp_path):
+    out, feed = str(tmp_path / "out"), str(tmp_path / "feed")
+    text = "9223372036854775807 P C 1 9\nnonsense\n1704067200000 P C 1 9\n"
+    ad_run(spark, tmp_path, out, ARRIVALS[:1])
+    spark.createDataFrame([(t,) for t in text.splitlines()], "value string").coalesce(1).write.mode(
+        "append"
+    ).text(feed)
+    ad_run(spark, tmp_path, out, ARRIVALS[1:2])
+    assert streams.read_allowed_clicks(spark, out).count() == 7
 
 
 def test_click_trend_drops_rows_behind_the_watermark(spark, tmp_path):
-    table = str(tmp_path / "table")
+    out = str(tmp_path / "out")
     arrivals = [
         [(0, "P", "C", 1, 9), (3 * 3600, "P", "C", 1, 9)],
         [(60, "P", "C", 1, 9), (3 * 3600 - 1800, "P", "C", 1, 9), (3 * 3600 + 1, "P", "C", 2, 9)],
     ]
-    run(spark, tmp_path, lambda c, at: streams.click_trend_stream(c, table, at), arrivals)
-    assert values(streams.read_click_trend(spark, table), *streams.TREND_KEY, "click_count") == [
+    run(spark, tmp_path, lambda c, at: streams.click_trend_stream(c, out, at), arrivals)
+    assert values(streams.read_click_trend(spark, out), *streams.TREND_KEY, "click_count") == [
         ("2024-01-01", "00", "00", 9, 1),
         ("2024-01-01", "02", "30", 9, 1),
         ("2024-01-01", "03", "00", 9, 2),

@@ -23,6 +23,13 @@ def place_user_counts(clicks: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("click_count"))
 
 
+def place_counts(clicks: DataFrame) -> DataFrame:
+    """Clicks per (date, province, city, ad)."""
+    return clicks.groupBy(
+        format_date("click_time").alias("date"), "province", "city", "ad_id"
+    ).agg(F.count("*").alias("click_count"))
+
+
 def user_totals(place_counts: DataFrame) -> DataFrame:
     """Clicks per (date, user, ad), from counts per place."""
     return place_counts.groupBy("date", "user_id", "ad_id").agg(
@@ -65,6 +72,23 @@ def allowed_clicks(clicks: DataFrame, blacklist: DataFrame, salts: int = 16) ->
     return clicks.withColumn("salt", salt).join(listed, ["user_id", "salt"], "left_anti").drop("salt")
 
 
+def first_listings(listings: DataFrame) -> DataFrame:
+    """Per listed user, the first date of a listing."""
+    return listings.groupBy("user_id").agg(F.min("date").alias("listed_on"))
+
+
+def ad_stat_by_listing(counts: DataFrame, listed: DataFrame) -> DataFrame:
+    """Clicks per (date, province, city, ad) of users not listed on that date or before.
+
+    ``counts`` are per user and place, ``listed`` gives the first date per user.
+    """
+    free = F.col("listed_on").isNull() | (F.col("date") < F.col("listed_on"))
+    allowed = counts.join(listed, "user_id", "left").where(free)
+    return allowed.groupBy("date", "province", "city", "ad_id").agg(
+        F.sum("click_count").alias("click_count")
+    )
+
+
 def ad_stat(place_counts: DataFrame, blacklist: DataFrame) -> DataFrame:
     """Clicks of allowed users per (date, province, city, ad).
 

@@ -1,18 +1,35 @@
-"""One function per job. Each appends to result tables under one folder."""
+"""One function per job. Each writes result tables under one folder, and replaces there what
+an earlier run of the same task, or of the same dates, has written. Read them with
+``sinks.files.read_replaced``."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from visitlens import schemas
+from visitlens.functions.times import day_before
 from visitlens.operators import ads, categories, pages, products, sampling, sessions, stats
 from visitlens.params import SessionTask
 from visitlens.plans.scratch import stored
-from visitlens.sinks.files import append_rows, overwrite_groups, read_table
+from visitlens.sinks.files import read_replaced, replace_groups
 from visitlens.sources.tables import actions_in_dates
 
+LISTINGS = "user_id bigint, date string"
+
+
+def for_day_before(task: SessionTask, run_date: str) -> SessionTask:
+    """The task over the one day before its run date."""
+    day = day_before(run_date)
+    return replace(task, start_date=day, end_date=day)
+
+
+def _replace_task(rows: DataFrame, task: SessionTask, path: str) -> None:
+    own = rows.sparkSession.createDataFrame([(task.task_id,)], "taskid bigint")
+    replace_groups(rows, own, path, ["taskid"])
+
 
 def session_analysis(
     spark: SparkSession,
@@ -27,25 +44,26 @@ def session_analysis(
     chosen = stored(spark, sessions.filtered_sessions(actions, users, task), "sessions")
     seed = str(task.task_id)
 
-    append_rows(stats.session_aggr_stat(chosen, task.task_id), f"{out}/session_aggr_stat")
-    append_rows(stats.sessions_per_hour(chosen), f"{out}/session_count_by_hour")
+    _replace_task(stats.session_aggr_stat(chosen, task.task_id), task, f"{out}/session_aggr_stat")
+    hours = stats.sessions_per_hour(chosen).withColumn("taskid", F.lit(task.task_id).cast("bigint"))
+    _replace_task(hours, task, f"{out}/session_count_by_hour")
 
     drawn = stored(spark, sampling.sample_sessions(chosen, per_day, seed), "drawn")
-    append_rows(sampling.extract_columns(drawn, task.task_id), f"{out}/session_random_extract")
+    _replace_task(sampling.extract_columns(drawn, task.task_id), task, f"{out}/session_random_extract")
     detail = sessions.session_detail(in_range, drawn, task.task_id)
-    append_rows(detail, f"{out}/session_detail")
+    _replace_task(detail, task, f"{out}/session_detail")
 
     counts = categories.category_counts_by_session(in_range, chosen)
     counts = stored(spark, counts, "category-counts")
-    append_rows(categories.top10_category(counts, task.task_id), f"{out}/top10_category")
+    _replace_task(categories.top10_category(counts, task.task_id), task, f"{out}/top10_category")
     best = categories.top10_category_session(counts, task.task_id)
-    append_rows(best, f"{out}/top10_category_session")
+    _replace_task(best, task, f"{out}/top10_category_session")
 
 
 def page_conversion(actions: DataFrame, task: SessionTask, out: str) -> None:
     in_range = actions_in_dates(actions, task.start_date, task.end_date)
     rates = pages.page_split_convert_rate(in_range, task.page_flow, task.task_id)
-    append_rows(rates, f"{out}/page_split_convert_rate")
+    _replace_task(rates, task, f"{out}/page_split_convert_rate")
 
 
 def area_products(
@@ -61,24 +79,26 @@ def area_products(
     top = products.area_top3_product(
         in_range, cities, product_table, levels, other_level, task.task_id
     )
-    append_rows(top, f"{out}/area_top3_product")
+    _replace_task(top, task, f"{out}/area_top3_product")
 
 
 def ad_statistics(spark: SparkSession, clicks: DataFrame, threshold: int, out: str) -> None:
     """All ad tables for the dates in ``clicks``, each date whole; it replaces what was there.
 
-    Clicks are filtered by the users listed on these or earlier written dates.
+    A click counts unless its user was listed on its date or before, whichever run wrote the
+    listing; so running a day again after later ones gives what its first run gave.
     """
-    place_counts = stored(spark, ads.place_user_counts(clicks), "place-user-counts")
-    counts = stored(spark, ads.user_totals(place_counts), "user-counts")
-    overwrite_groups(counts, f"{out}/ad_user_click_count", ["date"])
-    # The list keeps the date of each listing, so a run adds or renews only its own dates.
+    counts = stored(spark, ads.place_user_counts(clicks), "place-user-counts")
+    dates = stored(spark, counts.select("date").distinct(), "dates")
+    by_date = ["date"]
+
+    users = stored(spark, ads.user_totals(counts), "user-counts")
+    replace_groups(users, dates, f"{out}/ad_user_click_count", by_date)
     listings = f"{out}/ad_blacklist"
-    overwrite_groups(ads.blacklistings(counts, threshold), listings, ["date"])
-    blacklist = read_table(spark, listings, schemas.AD_BLACKLIST + ", date string")
-    blacklist = stored(spark, blacklist.select("user_id").distinct(), "blacklist")
-
-    stat = stored(spark, ads.ad_stat(place_counts, blacklist), "ad-stat")
-    overwrite_groups(stat, f"{out}/ad_stat", ["date"])
-    overwrite_groups(ads.province_top3(stat), f"{out}/ad_province_top3", ["date", "province"])
-    overwrite_groups(ads.click_trend(clicks), f"{out}/ad_click_trend", ["date"])
+    replace_groups(ads.blacklistings(users, threshold), dates, listings, by_date)
+    listed = ads.first_listings(read_replaced(spark, listings, LISTINGS))
+
+    stat = stored(spark, ads.ad_stat_by_listing(counts, listed), "ad-stat")
+    replace_groups(stat, dates, f"{out}/ad_stat", by_date)
+    replace_groups(ads.province_top3(stat), dates, f"{out}/ad_province_top3", by_date)
+    replace_groups(ads.click_trend(clicks), dates, f"{out}/ad_click_trend", by_date)

@@ -1,77 +1,148 @@
-"""A table kept as one folder per batch.
+"""Tables that a stream keeps, one folder per batch, under one job folder.
 
-A batch writes only its own rows, into ``batch=<id>``. Writing the same batch again
-replaces that folder, so a replay changes nothing. A reader merges the batches: it adds
-up counters, takes the latest value per key, or collects distinct keys. No folder is ever
-rewritten while it is read.
+``delta`` folders hold what a batch adds, ``snapshot`` folders the merged state after every
+``every``-th batch. A reader of the state after a batch opens the newest snapshot and the
+deltas behind it by their own paths: at most ``every`` folders, however long the stream has
+run. Which batch is the newest is read from the job's commit record, which a batch writes
+last, so a batch that failed half way is never seen and its replay overwrites it.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
+from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlens.operators.upserts import latest_per_key
 
+EVERY = 20
 BEFORE_FIRST = -1
 
 
-def create(spark: SparkSession, path: str, schema: str, partition_by: Sequence[str] = ()) -> None:
-    """Make the table with no rows, unless it is there."""
-    empty = spark.createDataFrame([], schema)
-    writer = empty.write.mode("ignore").partitionBy(*partition_by)
-    writer.parquet(f"{path}/batch={BEFORE_FIRST}")
-
-
-def write_batch(
-    rows: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()
-) -> None:
-    """Write one batch. With ``partition_by``, rows are first gathered by those columns,
-    which keeps files few; Spark splits a gathered partition that is too large."""
-    if partition_by:
-        rows = rows.hint("rebalance", *partition_by)
-    writer = rows.write.mode("overwrite").partitionBy(*partition_by)
-    writer.parquet(f"{path}/batch={batch_id}")
-
-
-def read_batches(
-    spark: SparkSession, path: str, schema: str, up_to: int | None = None
-) -> DataFrame:
-    """All rows with their ``batch``; ``up_to`` limits which folders are read.
-
-    A reader beside a running stream passes the last batch that has finished.
+@dataclass(frozen=True)
+class StateTable:
+    """``merge`` says how values of one key join: ``sum``, ``latest`` (by batch), or
+    ``distinct`` for keys without values. A snapshot rewrites the whole state, so ``every``
+    trades its cost against the number of folders a reader opens."""
+
+    path: str
+    schema: str
+    key: Sequence[str]
+    value: str | None
+    merge: str
+    partition_by: Sequence[str] = ()
+    every: int = EVERY
+
+    def folder(self, kind: str, batch_id: int) -> str:
+        return f"{self.path}/kind={kind}/batch={batch_id}"
+
+    def folders(self, batch_id: int) -> list[str]:
+        """What holds the state after a batch."""
+        if batch_id < 0:
+            return []
+        base = batch_id - batch_id % self.every
+        first = 0 if base == 0 else base + 1
+        snapshot = [] if base == 0 else [self.folder("snapshot", base)]
+        return snapshot + [self.folder("delta", i) for i in range(first, batch_id + 1)]
+
+    def _open(self, spark: SparkSession, paths: list[str]) -> DataFrame:
+        schema = f"{self.schema}, batch bigint"
+        if not paths:
+            return spark.createDataFrame([], schema)
+        reader = spark.read.schema(f"{schema}, kind string").option("basePath", self.path)
+        return reader.parquet(*paths).drop("kind")
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        key = list(self.key)
+        if self.merge == "distinct":
+            return rows.select(*key).distinct()
+        if self.merge == "sum":
+            return rows.groupBy(*key).agg(F.sum(self.value).alias(self.value))
+        return latest_per_key(rows, key, [self.value], "batch")
+
+    def _save(self, rows: DataFrame, folder: str) -> None:
+        """With ``partition_by``, rows are first gathered by those columns, which keeps files
+        few; Spark splits a gathered partition that is too large."""
+        if self.partition_by:
+            rows = rows.hint("rebalance", *self.partition_by)
+        rows.write.mode("overwrite").partitionBy(*self.partition_by).parquet(folder)
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        """What one batch adds; writing it again replaces it."""
+        self._save(rows, self.folder("delta", batch_id))
+
+    def delta(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """What one batch has written, by its own path."""
+        return self._open(spark, [self.folder("delta", batch_id)]).drop("batch")
+
+    def read(self, spark: SparkSession, batch_id: int, dates: DataFrame | None = None) -> DataFrame:
+        """The state after a batch, on all dates or on those given.
+
+        Dates come from the log, so nothing bounds them and no hint is set; where Spark finds
+        them few, it prunes the folders of the other dates.
+        """
+        rows = self._open(spark, self.folders(batch_id))
+        return self._merged(rows if dates is None else rows.join(dates, "date", "left_semi"))
+
+    def snapshot(self, spark: SparkSession, batch_id: int) -> None:
+        """Merge the state where the batch is one of every ``every``; call it before the commit."""
+        if batch_id > 0 and batch_id % self.every == 0:
+            before = self.folders(batch_id - 1)
+            rows = self._open(spark, [*before, self.folder("delta", batch_id)])
+            self._save(self._merged(rows), self.folder("snapshot", batch_id))
+
+
+class Commit(NamedTuple):
+    run: str | None
+    batch: int
+
+
+class CommitRecord:
+    """The last finished batch of a job, and the checkpoint it belongs to.
+
+    Two slots are overwritten in turn: while one is being written the other names the batch
+    before.
     """
-    rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
-    return rows if up_to is None else rows.where(F.col("batch") <= up_to)
-
 
-def on_dates_of_batch(batches: DataFrame, batch_id: int) -> DataFrame:
-    """Rows of all batches on the dates that one batch has, for tables partitioned by date.
-
-    The dates are as few as the days a batch spans, so they can be broadcast; Spark then
-    lists and reads only the folders of these dates.
-    """
-    dates = batches.where(F.col("batch") == batch_id).select("date").distinct()
-    return batches.join(F.broadcast(dates), "date", "left_semi")
+    def __init__(self, path: str, checkpoint: str) -> None:
+        self.path, self.checkpoint = path, checkpoint
+
+    def create(self, spark: SparkSession) -> None:
+        rows = spark.createDataFrame([(None, BEFORE_FIRST)], "run string, batch bigint")
+        rows.write.mode("ignore").parquet(f"{self.path}/slot=0")
+
+    def run_id(self, spark: SparkSession) -> str | None:
+        """The id that Spark gives to the query of a checkpoint; None where there is none."""
+        try:
+            row = spark.read.text(f"{self.checkpoint}/metadata").first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return json.loads(row["value"])["id"] if row else None
+
+    def require(self, spark: SparkSession, batch_id: int | None = None) -> None:
+        """Refuse a checkpoint that does not know the batches which the tables hold."""
+        last = last_commit(spark, self.path)
+        if last.batch == BEFORE_FIRST:
+            return
+        if last.run != self.run_id(spark):
+            raise ValueError(f"{self.path} belongs to another checkpoint, up to batch {last.batch}")
+        if batch_id is not None and batch_id not in (last.batch, last.batch + 1):
+            raise ValueError(f"{self.path} ends with batch {last.batch}; batch {batch_id} does not follow")
+
+    def commit(self, spark: SparkSession, batch_id: int) -> None:
+        rows = spark.createDataFrame([(self.run_id(spark), batch_id)], "run string, batch bigint")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/slot={(batch_id + 1) % 2}")
+
+
+def last_commit(spark: SparkSession, path: str) -> Commit:
+    reader = spark.read.schema("run string, batch bigint").option("ignoreMissingFiles", "true")
+    row = reader.parquet(path).orderBy(F.desc("batch")).first()
+    return Commit(row["run"], row["batch"]) if row else Commit(None, BEFORE_FIRST)
 
-
-def read_sums(batches: DataFrame, key: Sequence[str], value: str) -> DataFrame:
-    """Batches of deltas, added up per key."""
-    return batches.groupBy(*key).agg(F.sum(value).alias(value))
-
-
-def read_latest(batches: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Batches of new values: per key, that of the latest batch."""
-    return latest_per_key(batches, key, values, "batch")
-
-
-def compact(
-    merged: DataFrame, new_path: str, batch_id: int, partition_by: Sequence[str] = ()
-) -> None:
-    """Start a new folder from the merged state after ``batch_id``.
-
-    Later batches go to the new folder, and readers switch to it once this returns.
-    """
-    write_batch(merged, new_path, batch_id, partition_by)

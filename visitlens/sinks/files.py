@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+IS_ROW = "is_row"
 
 
 def append_rows(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -30,3 +33,21 @@ def overwrite_groups(rows: DataFrame, path: str, group: Sequence[str]) -> None:
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table with its declared types; a given schema keeps partition columns as text."""
     return spark.read.schema(schema).parquet(path)
+
+
+def replace_groups(rows: DataFrame, touched: DataFrame, path: str, group: Sequence[str]) -> None:
+    """Replace the groups in ``touched`` by ``rows``, which may have no row of some of them.
+
+    A partition without rows would be left as it is, so every touched group also gets one
+    marker row, which ``read_replaced`` leaves out. The groups come from the input of a run,
+    not from its result: a group whose last row has gone is emptied.
+    """
+    markers = touched.select(*group).distinct().withColumn(IS_ROW, F.lit(False))
+    both = rows.withColumn(IS_ROW, F.lit(True)).unionByName(markers, allowMissingColumns=True)
+    overwrite_groups(both, path, group)
+
+
+def read_replaced(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that ``replace_groups`` writes, in the columns of ``schema``."""
+    rows = spark.read.schema(f"{schema}, {IS_ROW} boolean").parquet(path).where(IS_ROW)
+    return rows.select(*[c.split()[0] for c in schema.split(",")])

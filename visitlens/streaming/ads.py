@@ -1,27 +1,30 @@
 """Streams over parsed ad clicks.
 
-Each function returns a writer that is not started; the caller sets the trigger. Counts
-that can be added up are written as deltas, running counts as new values, both into batch
-folders, so a batch that runs twice leaves the same state as one that ran once.
+Each function returns a writer that is not started; the caller sets the trigger. What a
+batch adds is written into folders of its own (see ``sinks/batches``), so a batch that runs
+twice leaves the same state as one that ran once. Dates are those of the session's time
+zone, as in the batch reports.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from visitlens import schemas
-from visitlens.functions.times import format_date
 from visitlens.operators.ads import (
     allowed_clicks,
     blacklisted_users,
+    place_counts,
     province_top3,
     trend_columns,
     user_click_counts,
 )
-from visitlens.sinks import batches
-from visitlens.sinks.files import overwrite_groups
+from visitlens.sinks.batches import EVERY, CommitRecord, StateTable, last_commit
+from visitlens.sinks.files import overwrite_groups, read_table
 
 STAT_KEY = ("date", "province", "city", "ad_id")
 USER_KEY = ("date", "user_id", "ad_id")
@@ -39,142 +42,132 @@ def _writer(rows: DataFrame, mode: str, checkpoint: str, save) -> DataStreamWrit
     )
 
 
-def _running_stat(clicks: DataFrame, blacklist: DataFrame, delay: str) -> DataFrame:
-    """Running clicks of allowed users per (day, province, city, ad).
-
-    State is keyed by day and leaves the store once the watermark has passed the day.
-    """
-    allowed = allowed_clicks(clicks, blacklist).withWatermark("click_time", delay)
-    counted = allowed.groupBy(
-        F.window("click_time", "1 day").alias("day"), "province", "city", "ad_id"
-    ).agg(F.count("*").alias("click_count"))
-    return counted.select(
-        format_date(F.col("day.start")).alias("date"), "province", "city", "ad_id", "click_count"
-    )
-
-
-def ad_stat_stream(
-    clicks: DataFrame, blacklist: DataFrame, table: str, checkpoint: str, delay: str = "1 day"
-) -> DataStreamWriter:
-    """Keep ``ad_stat``: each batch writes the full value of every key it changed.
-
-    ``blacklist`` is fixed when the stream starts.
-    """
-    batches.create(clicks.sparkSession, table, schemas.AD_STAT, BY_DATE)
-
-    def save(rows: DataFrame, batch_id: int) -> None:
-        batches.write_batch(rows, table, batch_id, BY_DATE)
-
-    return _writer(_running_stat(clicks, blacklist, delay), "update", checkpoint, save)
+@dataclass(frozen=True)
+class AdTables:
+    """The tables of the ad stream, under one folder."""
 
+    out: str
+    every: int = EVERY
 
-def read_ad_stat(spark: SparkSession, table: str, up_to: int | None = None) -> DataFrame:
-    rows = batches.read_batches(spark, table, schemas.AD_STAT, up_to)
-    return batches.read_latest(rows, STAT_KEY, ["click_count"])
+    def _counts(self, name: str, schema: str, key: tuple[str, ...]) -> StateTable:
+        return StateTable(f"{self.out}/{name}", schema, key, "click_count", "sum", BY_DATE, self.every)
 
+    @property
+    def user_counts(self) -> StateTable:
+        return self._counts("ad_user_click_count", schemas.AD_USER_CLICK_COUNT, USER_KEY)
 
-def user_click_count_stream(clicks: DataFrame, table: str, checkpoint: str) -> DataStreamWriter:
-    """Keep ``ad_user_click_count``: each batch writes the clicks it adds to each key."""
-    batches.create(clicks.sparkSession, table, schemas.AD_USER_CLICK_COUNT, BY_DATE)
+    @property
+    def stat(self) -> StateTable:
+        return self._counts("ad_stat", schemas.AD_STAT, STAT_KEY)
 
-    def save(rows: DataFrame, batch_id: int) -> None:
-        batches.write_batch(user_click_counts(rows), table, batch_id, BY_DATE)
+    @property
+    def blacklist(self) -> StateTable:
+        return StateTable(
+            f"{self.out}/ad_blacklist", schemas.AD_BLACKLIST, ("user_id",), None, "distinct", (), self.every
+        )
 
-    return _writer(clicks, "append", checkpoint, save)
+    @property
+    def allowed(self) -> StateTable:
+        """A log of clicks: it is read by batch or whole, and never merged."""
+        return StateTable(f"{self.out}/allowed_clicks", CLICK, CLICK_COLUMNS, None, "distinct")
 
+    @property
+    def top3(self) -> str:
+        return f"{self.out}/ad_province_top3"
 
-def read_user_click_counts(
-    spark: SparkSession, table: str, up_to: int | None = None
-) -> DataFrame:
-    rows = batches.read_batches(spark, table, schemas.AD_USER_CLICK_COUNT, up_to)
-    return batches.read_sums(rows, USER_KEY, "click_count")
+    @property
+    def commits(self) -> str:
+        return f"{self.out}/commits"
 
 
-def allowed_clicks_stream(
-    clicks: DataFrame,
-    threshold: int,
-    counts_table: str,
-    blacklist_table: str,
-    allowed_table: str,
-    checkpoint: str,
+def ad_stream(
+    clicks: DataFrame, threshold: int, out: str, checkpoint: str, every: int = EVERY
 ) -> DataStreamWriter:
-    """Pass on clicks of users not yet blacklisted, and grow the blacklist.
+    """Keep all ad tables from one pass over the clicks.
 
-    Batch n is filtered by the blacklist after batch n - 1. Its clicks are then counted,
-    and users who reach the threshold on a date that the batch touched are added.
+    Batch n is filtered by the blacklist after batch n - 1. Its allowed clicks are added to
+    the counts per user and per place, whenever they happened; users who reach the threshold
+    on a date that the batch touched go on the list, and the top ads of these dates are
+    ranked anew. No state is kept in Spark's store and no late click is dropped.
     """
     spark = clicks.sparkSession
-    batches.create(spark, counts_table, schemas.AD_USER_CLICK_COUNT, BY_DATE)
-    batches.create(spark, blacklist_table, schemas.AD_BLACKLIST)
-    batches.create(spark, allowed_table, CLICK)
+    tables = AdTables(out, every)
+    record = CommitRecord(tables.commits, checkpoint)
+    record.create(spark)
+    record.require(spark)
 
     def save(rows: DataFrame, batch_id: int) -> None:
         session = rows.sparkSession
-        known = read_blacklist(session, blacklist_table, up_to=batch_id - 1)
-        passed = allowed_clicks(rows, known).select(*CLICK_COLUMNS)
-        batches.write_batch(passed, allowed_table, batch_id)
-
+        record.require(session, batch_id)
+        known = tables.blacklist.read(session, batch_id - 1)
+        tables.allowed.write(allowed_clicks(rows, known).select(*CLICK_COLUMNS), batch_id)
         # What was written is read back: the join above runs once, and a lost executor
         # costs a re-read instead of a re-run.
-        written = batches.read_batches(session, allowed_table, CLICK).where(
-            F.col("batch") == batch_id
-        )
-        batches.write_batch(user_click_counts(written), counts_table, batch_id, BY_DATE)
-        deltas = batches.read_batches(
-            session, counts_table, schemas.AD_USER_CLICK_COUNT, up_to=batch_id
-        )
-        near = batches.on_dates_of_batch(deltas, batch_id)
-        totals = batches.read_sums(near, USER_KEY, "click_count")
-        over = blacklisted_users(totals, threshold)
-        batches.write_batch(over.join(known, "user_id", "left_anti"), blacklist_table, batch_id)
+        passed = tables.allowed.delta(session, batch_id)
+        tables.user_counts.write(user_click_counts(passed), batch_id)
+        tables.stat.write(place_counts(passed), batch_id)
+
+        dates = tables.stat.delta(session, batch_id).select("date").distinct()
+        over = blacklisted_users(tables.user_counts.read(session, batch_id, dates), threshold)
+        tables.blacklist.write(over.join(known, "user_id", "left_anti"), batch_id)
+        top = province_top3(tables.stat.read(session, batch_id, dates))
+        overwrite_groups(top, tables.top3, ["date"])
+        for table in (tables.user_counts, tables.stat, tables.blacklist):
+            table.snapshot(session, batch_id)
+        record.commit(session, batch_id)
 
     return _writer(clicks, "append", checkpoint, save)
 
 
-def read_blacklist(spark: SparkSession, table: str, up_to: int | None = None) -> DataFrame:
-    rows = batches.read_batches(spark, table, schemas.AD_BLACKLIST, up_to)
-    return rows.select("user_id").distinct()
+def _committed(spark: SparkSession, tables: AdTables) -> int:
+    return last_commit(spark, tables.commits).batch
 
 
-def read_allowed_clicks(spark: SparkSession, table: str) -> DataFrame:
-    return batches.read_batches(spark, table, CLICK).drop("batch")
+def read_ad_stat(spark: SparkSession, out: str, every: int = EVERY) -> DataFrame:
+    tables = AdTables(out, every)
+    return tables.stat.read(spark, _committed(spark, tables))
 
 
-def province_top3_stream(
-    clicks: DataFrame,
-    blacklist: DataFrame,
-    stat_table: str,
-    top3_table: str,
-    checkpoint: str,
-    delay: str = "1 day",
-) -> DataStreamWriter:
-    """Keep ``ad_province_top3``: recompute the (date, province) groups a batch touched."""
-    spark = clicks.sparkSession
-    batches.create(spark, stat_table, schemas.AD_STAT, BY_DATE)
+def read_user_click_counts(spark: SparkSession, out: str, every: int = EVERY) -> DataFrame:
+    tables = AdTables(out, every)
+    return tables.user_counts.read(spark, _committed(spark, tables))
 
-    def save(rows: DataFrame, batch_id: int) -> None:
-        session = rows.sparkSession
-        batches.write_batch(rows, stat_table, batch_id, BY_DATE)
-        stored = batches.read_batches(session, stat_table, schemas.AD_STAT, up_to=batch_id)
-        touched = stored.where(F.col("batch") == batch_id).select("date", "province").distinct()
-        in_touched = batches.on_dates_of_batch(stored, batch_id).join(
-            touched, ["date", "province"], "left_semi"
-        )
-        current = batches.read_latest(in_touched, STAT_KEY, ["click_count"])
-        overwrite_groups(province_top3(current), top3_table, ["date", "province"])
 
-    return _writer(_running_stat(clicks, blacklist, delay), "update", checkpoint, save)
+def read_blacklist(spark: SparkSession, out: str, every: int = EVERY) -> DataFrame:
+    tables = AdTables(out, every)
+    return tables.blacklist.read(spark, _committed(spark, tables))
+
+
+def read_allowed_clicks(spark: SparkSession, out: str) -> DataFrame:
+    """All clicks that finished batches let through."""
+    tables = AdTables(out)
+    log = spark.read.schema(f"{CLICK}, kind string, batch bigint").parquet(tables.allowed.path)
+    return log.where(F.col("batch") <= _committed(spark, tables)).drop("kind", "batch")
+
+
+def read_province_top3(spark: SparkSession, out: str) -> DataFrame:
+    """The top ads of every date; a date that a batch touches is replaced as a whole."""
+    return read_table(spark, AdTables(out).top3, schemas.AD_PROVINCE_TOP3)
+
+
+def _trend_table(out: str, every: int) -> StateTable:
+    return StateTable(
+        f"{out}/ad_click_trend", schemas.AD_CLICK_TREND, TREND_KEY, "click_count", "latest", BY_DATE, every
+    )
 
 
 def click_trend_stream(
-    clicks: DataFrame, table: str, checkpoint: str, delay: str = "1 hour"
+    clicks: DataFrame, out: str, checkpoint: str, delay: str = "1 hour", every: int = EVERY
 ) -> DataStreamWriter:
     """Keep ``ad_click_trend``: clicks per ad in one-minute windows of event time.
 
     Rows later than the watermark are dropped. Update mode also gives the windows that
-    are still open.
+    are still open; the value of the latest batch holds.
     """
-    batches.create(clicks.sparkSession, table, schemas.AD_CLICK_TREND, BY_DATE)
+    spark = clicks.sparkSession
+    table, record = _trend_table(out, every), CommitRecord(f"{out}/commits", checkpoint)
+    record.create(spark)
+    record.require(spark)
     per_minute = (
         clicks.withWatermark("click_time", delay)
         .groupBy(F.window("click_time", "1 minute").alias("minute"), "ad_id")
@@ -183,11 +176,14 @@ def click_trend_stream(
     )
 
     def save(rows: DataFrame, batch_id: int) -> None:
-        batches.write_batch(rows, table, batch_id, BY_DATE)
+        session = rows.sparkSession
+        record.require(session, batch_id)
+        table.write(rows, batch_id)
+        table.snapshot(session, batch_id)
+        record.commit(session, batch_id)
 
     return _writer(trend_columns(per_minute), "update", checkpoint, save)
 
 
-def read_click_trend(spark: SparkSession, table: str) -> DataFrame:
-    rows = batches.read_batches(spark, table, schemas.AD_CLICK_TREND)
-    return batches.read_latest(rows, TREND_KEY, ["click_count"])
+def read_click_trend(spark: SparkSession, out: str, every: int = EVERY) -> DataFrame:
+    return _trend_table(out, every).read(spark, last_commit(spark, f"{out}/commits").batch)
