@@ -198,6 +198,12 @@ def test_base_spans_are_those_of_the_patterns(spark):
     assert pii.detected(empty(spark)).count() == 0
 
 
+def test_masked_addresses_of_a_very_long_word():
+    text = "x" * 1_000_000 + " (at)a.b y(at)c[dot]d"
+    assert list(pii.masked_emails(text)) == [(0, 1_000_008), (1_000_009, len(text))]
+    assert list(pii.masked_emails("(at)b.c(at)d.e")) == [(4, 14)]
+
+
 def test_reliable_labelers_add_secrets_and_text_is_masked(spark):
     key = hashlib.sha1(b"x").hexdigest()
     texts = [f'see token = "{hashlib.sha1(bytes([i])).hexdigest()}" and mail me{i}@a.org' for i in range(40)]

@@ -34,7 +34,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-MASKED = re.compile(r"[\w.%+-]+ ?[\[(]at[\])] ?[\w-]+(?: ?(?:[\[(]dot[\])]|\.) ?[\w-]+)+")
+MASKED = re.compile(r" ?[\[(]at[\])] ?[\w-]+(?: ?(?:[\[(]dot[\])]|\.) ?[\w-]+)+")
 SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9A-Za-z]{32,64}(?![0-9A-Za-z])")
 NATIONAL = re.compile(r"(?<![0-9+(.)-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 ID_NUMBER = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
@@ -69,14 +69,26 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             yield start, used
 
 
+def masked_emails(text: str) -> Iterator[tuple[int, int]]:
+    """As ``emails``, with the @ and perhaps the dots spelt in brackets."""
+    used = 0
+    for m in MASKED.finditer(text):
+        start = m.start()
+        while start > used and (text[start - 1].isalnum() or text[start - 1] in "_.%+-"):
+            start -= 1
+        if start < m.start():
+            used = m.end()
+            yield start, used
+
+
 def spans(text: str) -> Iterator[tuple[int, int, int, bool]]:
     """``kind, start, end, base`` of all candidates."""
     if "@" in text:
         for a, b in emails(text):
             yield 0, a, b, True
     if "(at)" in text or "[at]" in text:
-        for m in MASKED.finditer(text):
-            yield 4, m.start(), m.end(), False
+        for a, b in masked_emails(text):
+            yield 4, a, b, False
     for m in SECRET.finditer(text):
         if not m[0].isdigit() and not m[0].isalpha():
             yield 5, m.start(), m.end(), False
