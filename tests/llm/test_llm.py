@@ -262,6 +262,24 @@ def test_join_is_that_of_brute_force(spark, monkeypatch, n, num, den, tile):
     }
 
 
+def test_shingles_do_not_depend_on_the_texts_beside_them():
+    alone = shingle_join.shingle_sets([BASE_TEXT], 4)[0]
+    for before, after in ([], ["x"]), (["some words"], []), (["é", LONG, ""], ["y z"]):
+        found = shingle_join.shingle_sets([*before, BASE_TEXT, *after], 4)[len(before)]
+        assert found.tolist() == alone.tolist()
+
+
+def test_join_of_texts_spread_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "BATCH_BYTES", 3000)
+    texts = TEXTS + near_copies(9)
+    sets, top = brute_components(texts, 4, 85, 100)
+    docs = documents(spark, texts).repartition(23, "doc_id")
+    rows = {r.doc_id: r for r in shingle_join.linked(docs, 4, 85, 100).collect()}
+    assert {i: (r.n_shingles, r.component_id) for i, r in rows.items()} == {
+        i: (len(s), t) for i, (s, t) in enumerate(zip(sets, top, strict=True))
+    }
+
+
 def test_join_of_an_empty_table_and_null_ids(spark):
     assert shingle_join.linked(empty(spark)).count() == 0
     docs = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e")], "doc_id long, text string")

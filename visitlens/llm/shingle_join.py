@@ -47,6 +47,7 @@ BITS_PER_SHINGLE = 4
 BLANKS = np.zeros(256, bool)
 BLANKS[[32, 9, 10, 11, 12, 13]] = True
 ODD = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(ODD), -1, 2**64))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -56,26 +57,33 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(n + 1, ODD)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to ``n - 1``, modulo 2**64."""
+    out = np.full(n, base)
+    out[:1] = 1
+    return np.multiply.accumulate(out, out=out)
 
 
 def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the n-word shingles of every text.
 
     Words of all texts are hashed together: a word's polynomial hash is a difference of
-    running sums, brought to a common scale by its distance from the end of the buffer.
+    running sums, divided by the power of ``ODD`` at its start. So it depends on the bytes
+    of the word alone, not on the texts beside it.
     """
     buffer = b" ".join(t.encode() for t in texts) + b" "
     data = np.frombuffer(buffer.lower(), np.uint8)
     blank = BLANKS[data]
     starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
-    scale = powers(len(data))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * scale[:-1])])
-    words = mixed((sums[ends] - sums[starts]) * scale[len(data) - starts] + (ends - starts).astype(np.uint64))
+    terms = data.astype(np.uint64) + np.uint64(1)
+    terms *= powers(ODD, len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(terms, out=sums[1:])
+    del terms
+    own_scale = powers(INVERSE, len(data))[starts]
+    words = mixed((sums[ends] - sums[starts]) * own_scale + (ends - starts).astype(np.uint64))
+    del sums
     sizes = np.fromiter((len(t.encode()) + 1 for t in texts), np.int64, len(texts))
     bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
     out = []
