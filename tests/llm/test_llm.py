@@ -418,6 +418,21 @@ def test_pipeline_stages(spark, tmp_path):
         assert set(at.columns) == expected
 
 
+def test_pipeline_drops_near_copies_of_different_batches(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingle_join, "BATCH_BYTES", 200)
+    folder = tmp_path.as_uri()
+    docs, labels = labelled_docs(spark)
+    clean = " ".join(f"clean{i}" for i in range(120))
+    near = [clean + " end" * (i + 1) + f" tail{i}" for i in range(6)]
+    more = documents(spark, near).withColumn("doc_id", F.col("doc_id") + 1000)
+    docs.union(more).repartition(29, "doc_id").write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    left = {r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()}
+    assert {i for i in left if i >= 1000} == {1000}
+
+
 # Queries with SQL
 
 
