@@ -109,6 +109,13 @@ def test_shards_are_even_and_groups_whole(spark):
     assert sharding.shard_documents(empty(spark)).count() == 0
 
 
+def test_no_shard_exceeds_a_capacity(spark):
+    lengths = [10001 - sharding.ROW_BYTES, 10016 - sharding.ROW_BYTES] * 8
+    texts = [f"{i:02d}".ljust(n, "x") for i, n in enumerate(lengths)]
+    rows = sharding.shard_documents(documents(spark, texts), capacity=20020).toPandas()
+    assert len(rows) == len(texts) and rows.groupby("shard")["size"].sum().max() <= 20020
+
+
 def test_large_group_gets_a_shard_alone():
     placed, fills = sharding.into_shards([(1000.0, 1), (10.0, 60)], 4)
     assert max(fills) == 1000 and sorted(fills)[:3] == [200, 200, 200]

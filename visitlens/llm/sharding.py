@@ -164,13 +164,13 @@ def shard_documents(
         F.sum("size").alias("bytes"), F.count("*").alias("group_rows")
     )
     groups = stored(groups.withColumn("class", size_class(F.col("bytes"))), "shard-groups")
-    counted = groups.groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    counted = groups.groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.max("bytes").alias("most"))
     found = sorted(counted.collect(), key=lambda r: -r["class"])
-    classes = [(r["b"] / r["n"], r["n"]) for r in found]
     if capacity is None:
-        placed, _ = into_shards(classes, shards)
+        placed, _ = into_shards([(r["b"] / r["n"], r["n"]) for r in found], shards)
     else:
-        placed, _ = best_fit_decreasing(classes, capacity)
+        # By the largest of a class: whichever members a shard gets, they fit.
+        placed, _ = best_fit_decreasing([(float(r["most"]), r["n"]) for r in found], capacity)
     allotted = []
     for r, runs in zip(found, placed, strict=True):
         start = 0
