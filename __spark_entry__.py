@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 from collections.abc import Callable
+from importlib import import_module
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +36,16 @@ from visitlens.operators import (  # noqa: E402
 )
 from visitlens.params import SessionTask, task_parameters  # noqa: E402
 from visitlens.plans import jobs  # noqa: E402
-from visitlens.plans.scratch import shared_folder, stored  # noqa: E402
+from visitlens.plans.scratch import OWN_SETTING, shared_folder, stored  # noqa: E402
 from visitlens.sinks.files import append_rows, read_replaced, read_table  # noqa: E402
 from visitlens.sinks.files import replace_groups as replace_stored_groups  # noqa: E402
 from visitlens.sources import testtables as tables  # noqa: E402
-from visitlens.sources.adlog import file_ad_lines, parse_ad_lines  # noqa: E402
+from visitlens.sources.adlog import (  # noqa: E402
+    clicks_of,
+    file_ad_lines,
+    parse_ad_lines,
+    read_ad_lines,
+)
 from visitlens.sources.tables import actions_in_dates, product_status  # noqa: E402
 from visitlens.streaming import ads as streams  # noqa: E402
 
@@ -234,7 +240,8 @@ def ad_blacklist(spark, d):
 
 
 def ad_clicks_allowed(spark, d):
-    return _shown_clicks(ads.allowed_clicks(_clicks(spark, d), ad_blacklist(spark, d)))
+    listed = stored(spark, ad_blacklist(spark, d), "blacklist")
+    return _shown_clicks(ads.allowed_clicks(_clicks(spark, d), listed))
 
 
 def ad_stat(spark, d):
@@ -321,6 +328,25 @@ def ad_statistics_rerun(spark, d):
     return read_replaced(spark, f"{out}/ad_stat", schemas.AD_STAT)
 
 
+def ad_statistics_corrected(spark, d):
+    """The ad job over all clicks but a third of the users' early ones, then again over the
+    early dates with all of their clicks: later dates follow the listings that this changes."""
+    out = shared_folder(spark, "ad-corrected")
+    clicks = _clicks(spark, d)
+    early = F.col("click_time") < CUT_DATE
+    jobs.ad_statistics(spark, clicks.where(~early | (F.col("user_id") % 3 > 0)), BLACKLIST_AT, out)
+    jobs.ad_statistics(spark, clicks.where(early), BLACKLIST_AT, out)
+    return read_replaced(spark, f"{out}/ad_stat", schemas.AD_STAT)
+
+
+def ad_lines_rejected(spark, d):
+    """What the ad job sets aside of lines of which some are broken, read once."""
+    out = shared_folder(spark, "ad-rejected")
+    jobs.ad_statistics(spark, read_ad_lines(tables.ad_lines_some_broken(spark, d)), BLACKLIST_AT, out)
+    rows = read_replaced(spark, f"{out}/rejected_ad_lines", f"source string, {schemas.REJECTED_AD_LINES}")
+    return rows.drop("source")
+
+
 # Streams. The lines arrive in thirds of a month; each arrival is one batch.
 
 
@@ -339,30 +365,23 @@ def _arrivals(spark: SparkSession, d: str) -> list[tuple[str, str]]:
 
 
 def _replay(
-    spark: SparkSession, d: str, build: Callable[[DataFrame, str], DataStreamWriter]
+    spark: SparkSession, d: str, build: Callable[[DataFrame, str], DataStreamWriter], lines=tables.ad_lines
 ) -> None:
     """Let the lines arrive, and after each arrival run the stream until it has caught up."""
     feed = shared_folder(spark, "ad-lines")
     checkpoint = shared_folder(spark, "ad-checkpoint")
     for first, last in _arrivals(spark, d):
-        tables.ad_lines(spark, d, first, last).write.mode("append").text(feed)
-        clicks = parse_ad_lines(file_ad_lines(spark, feed))
-        query = build(clicks, checkpoint).trigger(availableNow=True).start()
+        lines(spark, d, first, last).write.mode("append").text(feed)
+        read = read_ad_lines(file_ad_lines(spark, feed))
+        query = build(read, checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
 
 
-_AD_RUNS: dict[tuple[str, str], str] = {}
-
-
-def _ad_tables(spark: SparkSession, d: str) -> str:
-    """The folder that one run of the ad stream over all lines keeps; its tables are read by
-    several queries of a session."""
-    run = (spark.sparkContext.applicationId, d)
-    if run not in _AD_RUNS:
-        out = shared_folder(spark, "ad-tables")
-        _replay(spark, d, lambda c, at: streams.ad_stream(c, BLACKLIST_AT, out, at))
-        _AD_RUNS[run] = out
-    return _AD_RUNS[run]
+def _ad_tables(spark: SparkSession, d: str, lines=tables.ad_lines) -> str:
+    """The folder of the tables that one run of the ad stream keeps."""
+    out = shared_folder(spark, "ad-tables")
+    _replay(spark, d, lambda read, at: streams.ad_stream(read, BLACKLIST_AT, out, at), lines)
+    return out
 
 
 def stream_ad_stat(spark, d):
@@ -387,10 +406,20 @@ def stream_ad_blacklist(spark, d):
 
 def stream_ad_click_trend(spark, d):
     out = shared_folder(spark, "ad-click-trend")
-    _replay(spark, d, lambda c, at: streams.click_trend_stream(c, out, at))
+    _replay(spark, d, lambda read, at: streams.click_trend_stream(clicks_of(read), out, at))
     return streams.read_click_trend(spark, out)
 
 
+def stream_ad_lines_rejected(spark, d):
+    out = _ad_tables(spark, d, tables.ad_lines_some_broken)
+    return streams.read_rejected_lines(spark, out)
+
+
+def stream_ad_line_outcomes(spark, d):
+    out = _ad_tables(spark, d, tables.ad_lines_some_broken)
+    return streams.read_line_outcomes(spark, out)
+
+
 _QUERIES = (
     action_scan_date_range,
     action_scan_day_before,
@@ -429,18 +458,24 @@ _QUERIES = (
     sink_append,
     sink_replace_groups,
     ad_statistics_rerun,
+    ad_statistics_corrected,
+    ad_lines_rejected,
     stream_ad_stat,
     stream_ad_user_click_count,
     stream_ad_clicks_allowed,
     stream_ad_province_top3,
     stream_ad_blacklist,
     stream_ad_click_trend,
+    stream_ad_lines_rejected,
+    stream_ad_line_outcomes,
 )
 
 
 try:  # the operators for training data, where they are installed
-    from visitlens.llm import queries as _llm
-except ImportError:
+    _llm = import_module("visitlens.llm.queries")
+except ModuleNotFoundError as error:
+    if error.name not in ("visitlens.llm", "visitlens.llm.queries"):
+        raise
     _LLM_QUERIES, _LLM_SQL = {}, {}
 else:
     _LLM_QUERIES, _LLM_SQL = _llm.QUERIES, _llm.ORACLE_SQL
@@ -449,9 +484,9 @@ else:
 def _in_utc(query: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        local = spark.sparkContext.master.startswith("local[")
-        if local and not spark.conf.get("spark.checkpoint.dir", None):
-            spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="visitlens-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_SETTING, None)
+        if not named and spark.sparkContext.master.startswith("local["):
+            spark.conf.set(OWN_SETTING, tempfile.mkdtemp(prefix="visitlens-"))
         return query(spark, sf_dir)
 
     return run

@@ -280,6 +280,18 @@ _STREAMED = _with(
         FROM passed GROUP BY date, province, city, ad_id""",
 )
 
+# Lines that cannot be clicks.
+_BROKEN_LINES = """
+    SELECT CASE event_id % 40 WHEN 0 THEN '' WHEN 1 THEN '   '
+             WHEN 2 THEN 'soon ' || replace(area, ' ', '_') || ' ' || city_name
+             WHEN 3 THEN '9223372036854775807 ' || city_name
+             ELSE '-9223372036854775807 ' || city_name END AS value,
+           CASE event_id % 40 WHEN 0 THEN 'empty line' WHEN 1 THEN 'empty line'
+             WHEN 2 THEN 'time is no number' ELSE 'time out of range' END AS reason
+    FROM e0 JOIN city_info ON event_id % 25 = city_id
+    WHERE ts IS NOT NULL AND event_id % 40 <= 4"""
+_REJECTED_COUNTS = "SELECT value, reason, count(*) AS line_count FROM broken_lines GROUP BY value, reason"
+
 
 def _streamed(body: str) -> str:
     return _STREAMED.replace("{body}", body)
@@ -495,6 +507,23 @@ def oracle_sql() -> dict[str, str]:
             **_OLD_NEW_TOP3,
         ),
         "ad_statistics_rerun": _with(_CLICKS, _RERUN_STAT, **_RERUN),
+        "ad_statistics_corrected": _with(
+            _CLICKS, _RERUN_STAT, **(_RERUN | {"final_clicks": "SELECT * FROM clicks"})
+        ),
+        "ad_lines_rejected": _with("e0 city_info", _REJECTED_COUNTS, broken_lines=_BROKEN_LINES),
+        "stream_ad_lines_rejected": _with("e0 city_info", _REJECTED_COUNTS, broken_lines=_BROKEN_LINES),
+        "stream_ad_line_outcomes": _with(
+            f"{_CLICKS} user_counts",
+            """SELECT 'allowed click' AS outcome, count(*) AS line_count FROM passed HAVING count(*) > 0
+               UNION ALL
+               SELECT 'click of a listed user', (SELECT count(*) FROM clicks) - (SELECT count(*) FROM passed)
+               WHERE (SELECT count(*) FROM clicks) > (SELECT count(*) FROM passed)
+               UNION ALL
+               SELECT reason, count(*) FROM broken_lines GROUP BY reason""",
+            clicks=_VIEWS["clicks"] + " AND event_id % 40 > 4",
+            passed=_PASSED,
+            broken_lines=_BROKEN_LINES,
+        ),
         "stream_ad_stat": _streamed("SELECT * FROM passed_stat"),
         "stream_ad_user_click_count": _streamed(
             "SELECT date, user_id, ad_id, count(*) AS click_count FROM passed GROUP BY ALL"

@@ -91,3 +91,14 @@ def test_broken_lines_are_rejected_with_a_reason(spark):
     assert parse_ad_lines(lines).count() == 1
     reasons = [r.reason for r in rejected_ad_lines(lines).collect()]
     assert sorted(reasons) == ["empty line", "empty line", "time is no number", "time out of range"]
+
+
+def test_listed_users_are_found_by_broadcast_and_by_shuffle(spark):
+    rows = [(i, "P", "C", i % 3, 9) for i in range(30)]
+    df = clicks(spark, *rows)
+    listed = spark.createDataFrame([(1,), (7,)], "user_id bigint")
+    for most in (0, 10):
+        marked = ads.with_listing(df, listed, broadcast_users=most)
+        assert ("BroadcastHashJoin" in marked._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+        assert {(r.user_id, r.listed) for r in marked.collect()} == {(0, False), (1, True), (2, False)}
+        assert marked.count() == 30

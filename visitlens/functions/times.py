@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Text formats at the edges.
@@ -53,3 +53,9 @@ def seconds_between(start: Column, end: Column) -> Column:
 def day_before(run_date: str) -> str:
     """The day before a run date, as a bound for date-range scans."""
     return (date.fromisoformat(run_date) - timedelta(days=1)).isoformat()
+
+
+def millis_of(spark: SparkSession, duration: str) -> int:
+    """A duration such as ``1 hour`` in milliseconds."""
+    length = F.expr(f"unix_millis(timestamp_millis(0) + INTERVAL {duration})")
+    return spark.range(1).select(length).first()[0]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions.times import format_date
 from visitlens.operators.ranking import first_per_group
 
+BROADCAST_USERS = 1_000_000  # 8 MB of ids
+
 
 def user_click_counts(clicks: DataFrame) -> DataFrame:
     """Clicks per (date, user, ad)."""
@@ -58,18 +60,31 @@ def blacklisted_users(counts: DataFrame, threshold: int) -> DataFrame:
     return blacklistings(counts, threshold).select("user_id").distinct()
 
 
-def allowed_clicks(clicks: DataFrame, blacklist: DataFrame, salts: int = 16) -> DataFrame:
-    """Clicks whose user is not on the blacklist.
+def with_listing(
+    clicks: DataFrame, blacklist: DataFrame, salts: int = 16, broadcast_users: int = BROADCAST_USERS
+) -> DataFrame:
+    """Clicks with a column ``listed``: whether their user is on the blacklist.
 
-    The users with most clicks are the ones the list is about, so the clicks of a user are
-    spread over ``salts`` join keys, and each listed user is repeated for all of them. The
-    list grows with the data; it is broadcast only where Spark measures it as small.
+    The list grows with the data, so its users are counted first (give a stored list). Up to
+    ``broadcast_users`` they are broadcast, and clicks stay where they are. Beyond that both
+    sides are shuffled: the users with most clicks are the ones the list is about, so the
+    clicks of a user are spread over ``salts`` join keys, and each listed user is repeated for
+    all of them. Rows without a user are spread by their text, where they have one.
     """
-    listed = blacklist.select(
-        "user_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    )
-    salt = F.pmod(F.hash("click_time", "province", "city", "ad_id"), F.lit(salts))
-    return clicks.withColumn("salt", salt).join(listed, ["user_id", "salt"], "left_anti").drop("salt")
+    listed = blacklist.select("user_id", F.lit(True).alias("listed"))
+    if blacklist.count() <= broadcast_users:
+        met = clicks.join(F.broadcast(listed), "user_id", "left")
+    else:
+        listed = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+        spread = [c for c in ("click_time", "province", "city", "ad_id", "value") if c in clicks.columns]
+        salted = clicks.withColumn("salt", F.pmod(F.hash(*spread), F.lit(salts)))
+        met = salted.join(listed, ["user_id", "salt"], "left").drop("salt")
+    return met.withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
+def allowed_clicks(clicks: DataFrame, blacklist: DataFrame) -> DataFrame:
+    """Clicks whose user is not on the blacklist."""
+    return with_listing(clicks, blacklist).where(~F.col("listed")).select(*clicks.columns)
 
 
 def first_listings(listings: DataFrame) -> DataFrame:
@@ -122,7 +137,7 @@ def click_trend(clicks: DataFrame) -> DataFrame:
     return trend_columns(per_minute)
 
 
-def trend_columns(per_minute: DataFrame) -> DataFrame:
+def trend_columns(per_minute: DataFrame, *more: Column) -> DataFrame:
     """Split the start of the minute into the date, hour and minute of the result table."""
     return per_minute.select(
         format_date("minute_start").alias("date"),
@@ -130,4 +145,5 @@ def trend_columns(per_minute: DataFrame) -> DataFrame:
         F.date_format("minute_start", "mm").alias("minute"),
         "ad_id",
         "click_count",
+        *more,
     )

@@ -45,3 +45,7 @@ AD_BLACKLIST = "user_id bigint"
 AD_STAT = "date string, province string, city string, ad_id bigint, click_count bigint"
 AD_PROVINCE_TOP3 = "date string, province string, ad_id bigint, click_count bigint"
 AD_CLICK_TREND = "date string, hour string, minute string, ad_id bigint, click_count bigint"
+
+# Lines of the ad log that are no clicks, and what became of all lines.
+REJECTED_AD_LINES = "value string, reason string, line_count bigint"
+AD_LINE_OUTCOMES = "outcome string, line_count bigint"

@@ -111,6 +111,25 @@ def ad_lines(
     )
 
 
+def ad_lines_some_broken(
+    spark: SparkSession, sf_dir: str, start_date: str | None = None, end_date: str | None = None
+) -> DataFrame:
+    """The ad click lines, one in eight of them broken in one of five ways."""
+    events = _events(spark, sf_dir, start_date, end_date).where("ts IS NOT NULL")
+    places = city_info(spark, sf_dir)
+    return events.join(places, F.expr("event_id % 25 = city_id")).selectExpr(
+        """CASE event_id % 40
+             WHEN 0 THEN ''
+             WHEN 1 THEN '   '
+             WHEN 2 THEN concat_ws(' ', 'soon', replace(area, ' ', '_'), city_name)
+             WHEN 3 THEN concat_ws(' ', '9223372036854775807', city_name)
+             WHEN 4 THEN concat_ws(' ', '-9223372036854775807', city_name)
+             ELSE concat_ws(' ', unix_millis(timestamp(ts)), replace(area, ' ', '_'), city_name,
+                            coalesce(string(user_id), '-'), coalesce(string(k % 10), '-'))
+           END AS value"""
+    )
+
+
 def task(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One task per customer, its JSON built from the customer's columns.
 
