@@ -154,7 +154,6 @@ def test_plain_pattern_splits_as_the_full_one(text):
 def test_packing_covers_every_id_once(spark):
     rows = packing.pack(documents(spark), MODEL, public_tokenizers.PATTERN).toPandas()
     tokenizer = Tokenizer.from_file(MODEL)
-    tokenizer.encode_special_tokens = True
     ids = {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(TEXTS)}
     for r in rows.itertuples():
         part = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
-from functools import reduce
 from uuid import uuid4
 
 import pyarrow as pa
@@ -12,6 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Names the shared folder where ``spark.checkpoint.dir``, which a running session refuses to
+#: take, was not set when it began.
+OWN_SETTING = "visitlens.shared.dir"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -20,12 +22,12 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
 
     Only a ``local[...]`` master, as in tests, may leave the setting out.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_SETTING, None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="visitlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.conf.set(OWN_SETTING, base)
     return f"{base.rstrip('/')}/{purpose}-{uuid4().hex}"
 
 
@@ -125,7 +127,3 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         seen = state
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.union(now.select("b", "b")).distinct()
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x | y, conditions, F.lit(False))

@@ -18,6 +18,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,6 +35,8 @@ from visitlens.llm.pretokens import BEYOND_LATIN, splitter
 SEQUENCE = 2048
 END_ID = 1
 STEP = 8
+#: Columns that are generated at most. It bounds the driver's work, not the pieces: beyond
+#: it, packing goes on with the patterns found, and may pad more.
 MOST_COLUMNS = 2_000
 #: The program is left when its value is proven to be within this share of the least.
 GAP = 0.002
@@ -64,8 +67,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, sequence: int = S
 
     A task encodes the new words of a batch and keeps a bounded table of known ones. Where
     the file's merges stand in the order of their ids, words go through the faster merge
-    loop of tiktoken, with the ids of this file. Texts beyond Latin-1 go through the
-    tokenizer whole.
+    loop of tiktoken, with the ids of this file. Texts beyond Latin-1, and those that hold an
+    added token of the file, go through the tokenizer whole, which finds such tokens in text.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         model_text = file.read()
@@ -77,7 +80,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, sequence: int = S
 
         model_text, ranks = shared.value
         tokenizer = Tokenizer.from_str(model_text)
-        tokenizer.encode_special_tokens = True
+        special = [re.escape(t["content"]) for t in json.loads(model_text).get("added_tokens", [])]
+        whole = re.compile("|".join([BEYOND_LATIN.pattern, *special]))
         if ranks:
             fast = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         split, known = splitter(pattern), {}
@@ -94,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, sequence: int = S
 
         for batch in slices(batches, "text", BATCH_BYTES):
             texts = batch.column("text").to_pylist()
-            words = [None if BEYOND_LATIN.search(t) else split(t) for t in texts]
+            words = [None if whole.search(t) else split(t) for t in texts]
             met = set().union(*filter(None, words))
             if len(known) + len(met) > CACHED_WORDS:
                 known.clear()

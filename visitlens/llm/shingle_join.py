@@ -4,16 +4,19 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
 ratio of whole numbers. The join is exact and goes in four steps.
 
 1. *Counting.* Every document posts those of its shingle hashes that lie in the lowest
-   ``SAMPLED`` part of the hash range (small documents post all). Postings are dealt by hash
+   ``SAMPLED`` part of the hash range (small documents, and those with so few there that a
+   partner might have none of them, post all). Postings are dealt by hash
    in packed blocks, and each comes back with the number of documents that have it. Linked
    documents can differ in few shingles, so a document whose rarest postings, as many as may
    differ and one more, are all its own has no partner. The rest of those rarest postings
    that it shares are its keys: linked documents share at least one.
 2. *Candidate groups.* Documents are connected through shared keys. Keys are the rarest
    shingles, so a passage that many documents quote connects nobody by itself.
-3. *Tiles.* Texts of the documents that have keys are read again, sets that are equal are
-   joined under their smallest id, and the sets of a group meet in tiles: one tile if the
-   group is small, else a tile for every two blocks of neighbouring size bands. A tile
+3. *Tiles.* Sets that are equal are joined under their smallest id, and the sets of a group
+   meet in tiles: one tile if the group is small, else a tile for every two blocks of
+   neighbouring size bands. Tiles are decided on ids and sizes; then the texts are read again
+   and the arrays go straight to their tiles. Up to ``BROADCAST_SETS`` those ids are broadcast,
+   so other texts stay where they are; beyond it texts and ids are shuffled. A tile
    bounds the overlap of two sets from above by the bits that their bitmaps share, and only
    intersects the sorted arrays of pairs which that bound lets through.
 4. *Components.* Tiles give spanning links, which are joined over the whole corpus.
@@ -44,6 +47,7 @@ POSTS_ALL = 128
 BATCH_BYTES = 8 << 20
 TILE = 1500
 BITS_PER_SHINGLE = 4
+BROADCAST_SETS = 1_000_000  # rows of 64 bytes
 BLANKS = np.zeros(256, bool)
 BLANKS[[32, 9, 10, 11, 12, 13]] = True
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -105,9 +109,17 @@ def may_differ(size: int, num: int, den: int) -> int:
     return size - ceil(num * size / den)
 
 
-def posted(shingles: np.ndarray) -> np.ndarray:
+def posts_all(shingles: np.ndarray, num: int, den: int) -> bool:
+    """Whether a document posts all of its shingles: if it is small, or if it could lack all of
+    its sampled ones in a linked document. Two linked documents that share no sampled shingle
+    are both of this sort, so they meet by the others."""
+    sampled = int(np.searchsorted(shingles, np.uint64(int(SAMPLED * 2.0**64))))
+    return len(shingles) <= POSTS_ALL or sampled <= may_differ(len(shingles), num, den)
+
+
+def posted(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     """Hashes that a document posts, 40 bits each; collisions only make keys less rare."""
-    if len(shingles) > POSTS_ALL:
+    if not posts_all(shingles, num, den):
         shingles = shingles[: int(np.searchsorted(shingles, np.uint64(int(SAMPLED * 2.0**64))))]
     return np.unique(shingles >> np.uint64(24))
 
@@ -115,11 +127,11 @@ def posted(shingles: np.ndarray) -> np.ndarray:
 def ranges(shingles: np.ndarray, posts: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """``(role, length)`` of the postings from which keys are taken.
 
-    Two small documents meet by all their postings (role 0), any other pair by those in the
-    sampled range (role 1). A document whose partners may be of either sort takes both.
+    Two documents that post all meet by all their postings (role 0), any other pair by those
+    in the sampled range (role 1). A document whose partners may be of either sort takes both.
     """
     found = []
-    if len(shingles) <= POSTS_ALL:
+    if posts_all(shingles, num, den):
         found.append((0, len(posts)))
     if len(shingles) * den > POSTS_ALL * num:
         found.append((1, int(np.searchsorted(posts, np.uint64(int(SAMPLED * 2.0**40))))))
@@ -148,7 +160,7 @@ def _posting_blocks(docs: DataFrame, n: int, num: int, den: int, parts: int) ->
                     continue
                 if first.setdefault(s.tobytes(), i) != i:
                     continue
-                p = posted(s)
+                p = posted(s, num, den)
                 for role, complete in ranges(s, p, num, den):
                     owners.append(ids[i])
                     spares.append(2 * (may_differ(len(s), num, den) + 1 - complete) + role)
@@ -314,24 +326,10 @@ def linked(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFr
     )
     placed = stored(placed, "shingle-placed")
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", BATCH_BYTES):
-            sets = shingle_sets(batch.column("text").to_pylist(), n)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("rep"), batch.column("grp"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                names=["rep", "grp", "size", "shingles"],
-            )
-
-    met = texts.join(placed, texts.doc_id == placed.rep).select("rep", "grp", "text")
-    sets = stored(met.mapInArrow(arrays, "rep long, grp long, size long, shingles binary"), "shingle-sets")
-
     # Bands: a set links only within its own size band and the next ones.
+    sizes = sized.where("digest IS NOT NULL").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"))
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(den / num)) + 1e-9).cast("long")
-    banded = sets.withColumn("band", band)
+    banded = stored(placed.join(sizes.distinct(), "rep").withColumn("band", band), "shingle-bands")
     many = banded.groupBy("grp").agg(F.count("*").alias("m"))
     per_band = banded.groupBy("grp", "band").agg(F.count("*").alias("mb"))
     blocks = per_band.join(many, "grp").withColumn(
@@ -340,9 +338,25 @@ def linked(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFr
     below = blocks.select("grp", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
     above = blocks.select("grp", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     counted = blocks.join(below, ["grp", "band"], "left").join(above, ["grp", "band"], "left").where("m > 1")
-    located = banded.join(counted, ["grp", "band"]).withColumn(
-        "block", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(0)
-    )
+    block = F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(0)
+    located = banded.join(counted, ["grp", "band"]).withColumn("block", block)
+    place = ["grp", "band", "block", "blocks", "above", "below"]
+    located = stored(located.select("rep", "size", *place), "shingle-tiles")
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets of the size that the tiles were decided on; rows of one id may differ in size."""
+        for batch in slices(batches, "text", BATCH_BYTES):
+            sets = shingle_sets(batch.column("text").to_pylist(), n)
+            own = pa.array([s.tobytes() for s in sets], pa.binary())
+            fits = pa.array([len(s) == size for s, size in zip(sets, batch.column("size").to_pylist(), strict=True)])
+            names = ["rep", "size", *place]
+            found = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), own], names=[*names, "shingles"])
+            yield found.filter(fits)
+
+    few = located.count() <= BROADCAST_SETS
+    met = texts.join(F.broadcast(located) if few else located, texts.doc_id == located.rep)
+    schema = ", ".join(f"{c} long" for c in ("rep", "size", *place))
+    sets = met.select("rep", "size", *place, "text").mapInArrow(arrays, f"{schema}, shingles binary")
     tiles = F.expr(
         """CASE WHEN blocks = 0 THEN array('') ELSE concat(
              transform(sequence(0, blocks - 1), j -> concat(band, ':', least(j, block), '-', band, ':', greatest(j, block))),
@@ -351,7 +365,7 @@ def linked(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFr
              CASE WHEN below > 0 THEN transform(sequence(0, below - 1), j -> concat(band - 1, ':', j, '-', band, ':', block))
                   ELSE array() END) END"""
     )
-    dealt = located.select("grp", F.explode(tiles).alias("tile"), "rep", "size", "shingles")
+    dealt = sets.select("grp", F.explode(tiles).alias("tile"), "rep", "size", "shingles")
 
     def join_tile(rows: pd.DataFrame) -> pd.DataFrame:
         found = links_of(
