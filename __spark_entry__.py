@@ -74,9 +74,11 @@ CUT_DATE = "2024-01-16"
 CUT_TIME = "2024-01-16 12:00:00"
 
 
-def _filtered(spark: SparkSession, d: str, task: SessionTask = OPEN_TASK) -> DataFrame:
+def _filtered(
+    spark: SparkSession, d: str, task: SessionTask = OPEN_TASK, lists: bool = False
+) -> DataFrame:
     actions = tables.user_visit_action(spark, d, task.start_date, task.end_date)
-    return sessions.filtered_sessions(actions, tables.user_info(spark, d), task)
+    return sessions.filtered_sessions(actions, tables.user_info(spark, d), task, lists)
 
 
 def _clicks(spark: SparkSession, d: str) -> DataFrame:
@@ -138,12 +140,12 @@ def session_user_enriched(spark, d):
 
 
 def session_filtered(spark, d):
-    return _shown_sessions(_filtered(spark, d, FILTER_TASK))
+    return _shown_sessions(_filtered(spark, d, FILTER_TASK, lists=True))
 
 
 def session_equal_filter(spark, d):
     return _shown_sessions(
-        sessions.sessions_equal(_filtered(spark, d), professional="MACHINERY", sex="female", city=None)
+        sessions.sessions_equal(_filtered(spark, d, lists=True), professional="MACHINERY", sex="female", city=None)
     )
 
 
@@ -170,7 +172,7 @@ def session_count_by_hour(spark, d):
 
 def session_random_extract(spark, d):
     """Sessions are stored first: quotas and draw read them, with different columns."""
-    chosen = stored(spark, _filtered(spark, d), "sessions")
+    chosen = stored(spark, _filtered(spark, d, lists=True), "sessions")
     return sampling.session_random_extract(chosen, PER_DAY, SEED, OPEN_TASK.task_id)
 
 
@@ -293,10 +295,11 @@ def upsert_accumulate(spark, d):
 
 def _stored_and_new_top3(spark, d):
     before, batch = _stored_and_batch(spark, d)
-    return ads.province_top3(before), ads.province_top3(batch)
+    return ads.province_top3(before), stored(spark, ads.province_top3(batch), "new-top3")
 
 
 def replace_groups(spark, d):
+    """The batch is stored first: its groups and its rows are read apart."""
     before, batch = _stored_and_new_top3(spark, d)
     return upserts.replace_groups(before, batch, ["date", "province"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.rows import values
 from visitlens.operators.ranking import first_per_group
-from visitlens.operators.sampling import hour_quotas, sample_sessions
+from visitlens.operators.sampling import candidates, draw_limits, hour_quotas, sample_sessions, with_draws
 
 
 def _expected(rows, per_day, seed):
@@ -49,6 +49,14 @@ def test_sample_matches_plain_python(spark, per_day):
     assert {s for (s,) in values(got, "session_id")} == _expected(rows, per_day, "x")
 
 
+def test_an_hour_is_cut_to_about_its_quota_before_it_is_ranked(spark):
+    df = spark.range(120_000).selectExpr("string(id) AS session_id", "timestamp'2024-01-01 05:00:00' AS start_time")
+    timed = with_draws(df, "x")
+    few = candidates(timed, draw_limits(timed, 5000)).count()
+    assert 5000 <= few <= 7500
+    assert sample_sessions(df, 5000, "x").count() == 5000
+
+
 def test_quotas_add_up(spark):
     df = spark.range(1000).selectExpr("'d' AS day", "int(id % 7 + id % 3) AS hour")
     quotas = hour_quotas(df, 100)

@@ -15,16 +15,40 @@ KEYWORD_HIT = "has_wanted_keyword"
 CATEGORY_HIT = "has_wanted_category"
 
 
-def aggregate_sessions(actions: DataFrame, task: SessionTask = SessionTask()) -> DataFrame:
-    """One row per session, in one shuffle with map-side partial aggregation.
+def aggregate_sessions(
+    actions: DataFrame, task: SessionTask = SessionTask(), lists: bool = True
+) -> DataFrame:
+    """One row per session. Actions without a session id belong to no session.
 
-    Actions without a session id belong to no session.
+    With ``lists`` the distinct keywords and categories are shown. Actions are then counted
+    by session, keyword and category first, in a plain hash aggregation that also spreads a
+    hot session, and the lists are built from the distinct values. Without them, one
+    aggregation of fixed-width values and one shuffle do.
 
     When the task asks for keywords or categories, whether a session has one of them is
-    computed as a flag beside the lists. A plan that does not select the lists then drops
-    them, and the aggregation holds only fixed-width values.
+    computed as a flag.
     """
-    keyword = non_empty(F.col("search_keyword"))
+    acted = actions.where(F.col("session_id").isNotNull()).select(
+        "session_id",
+        "user_id",
+        non_empty(F.col("search_keyword")).alias("search_keyword"),
+        "click_category_id",
+        parse_time("action_time").alias("start_time"),
+    )
+    rows = acted.withColumn("end_time", F.col("start_time")).withColumn("step_length", F.lit(1).cast("bigint"))
+    totals = [
+        F.min("user_id").alias("user_id"),
+        F.min("start_time").alias("start_time"),
+        F.max("end_time").alias("end_time"),
+        F.sum("step_length").alias("step_length"),
+    ]
+    shown = []
+    if lists:
+        rows = rows.groupBy("session_id", "search_keyword", "click_category_id").agg(*totals)
+        shown = [
+            sorted_distinct(F.col("search_keyword")).alias("search_keywords"),
+            sorted_distinct(F.col("click_category_id")).alias("click_category_ids"),
+        ]
     flags = []
     wanted_keyword = any_of(F.col("search_keyword"), task.keywords)
     if wanted_keyword is not None:
@@ -32,18 +56,7 @@ def aggregate_sessions(actions: DataFrame, task: SessionTask = SessionTask()) ->
     wanted_category = any_of(F.col("click_category_id"), task.category_ids)
     if wanted_category is not None:
         flags.append(F.coalesce(F.bool_or(wanted_category), F.lit(False)).alias(CATEGORY_HIT))
-    acted = actions.where(F.col("session_id").isNotNull()).withColumn(
-        "acted_at", parse_time("action_time")
-    )
-    sessions = acted.groupBy("session_id").agg(
-        F.min("user_id").alias("user_id"),
-        sorted_distinct(keyword).alias("search_keywords"),
-        sorted_distinct(F.col("click_category_id")).alias("click_category_ids"),
-        F.min("acted_at").alias("start_time"),
-        F.max("acted_at").alias("end_time"),
-        F.count("*").alias("step_length"),
-        *flags,
-    )
+    sessions = rows.groupBy("session_id").agg(totals[0], *shown, *totals[1:], *flags)
     visit_length = seconds_between(F.col("start_time"), F.col("end_time"))
     return sessions.withColumn("visit_length", visit_length).drop("end_time")
 
@@ -76,10 +89,13 @@ def filter_sessions(sessions: DataFrame, task: SessionTask) -> DataFrame:
     ).drop(KEYWORD_HIT, CATEGORY_HIT)
 
 
-def filtered_sessions(actions: DataFrame, users: DataFrame, task: SessionTask) -> DataFrame:
-    """Actions in the task's dates, to sessions, to sessions that pass its filters."""
+def filtered_sessions(
+    actions: DataFrame, users: DataFrame, task: SessionTask, lists: bool = True
+) -> DataFrame:
+    """Actions in the task's dates, to sessions, to sessions that pass its filters. Reports
+    that do not show the lists leave them out."""
     in_range = actions_in_dates(actions, task.start_date, task.end_date)
-    return filter_sessions(with_users(aggregate_sessions(in_range, task), users), task)
+    return filter_sessions(with_users(aggregate_sessions(in_range, task, lists), users), task)
 
 
 def sessions_equal(sessions: DataFrame, **values: object) -> DataFrame:

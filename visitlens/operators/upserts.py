@@ -50,6 +50,10 @@ def upsert_add(stored: DataFrame, delta: DataFrame, key: Sequence[str], value: s
 
 
 def replace_groups(stored: DataFrame, batch: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Drop every stored row of a group that the batch has, then add the batch."""
+    """Drop every stored row of a group that the batch has, then add the batch.
+
+    The batch is read twice, for its groups and for its rows: give a stored one. Groups are
+    looked up by a join, so none of them is gathered in one task.
+    """
     touched = batch.select(*group).distinct()
     return _join_on_key(stored, touched, group, "left_anti").unionByName(batch)
