@@ -340,3 +340,17 @@ def test_audit_of_empty_tables(spark):
     assert audited(spark, []) == {}
     rows = audit_rows()[:5]
     assert audited(spark, rows, []) == plain_audit(rows, [])
+
+
+# Pipeline
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_pipeline_of_an_empty_table(spark, tmp_path, labelled):
+    import corpus_pipeline
+
+    documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(1, 1, 0), (2, 0, 1)] if labelled else []
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    told.write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
