@@ -354,3 +354,46 @@ def test_pipeline_of_an_empty_table(spark, tmp_path, labelled):
     told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     told.write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# Jaccard join of large groups
+
+
+def plain_components(texts, n=4, num=85, den=100):
+    sets = []
+    for text in texts:
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))})
+    top = list(range(len(texts)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            top[b] = a
+    return [(i, len(s), find(i)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_large_group_in_many_tiles(spark, monkeypatch, most):
+    """A group of many sets in small tiles, its ids broadcast and shuffled."""
+    from visitlens.llm import shingle_join
+
+    monkeypatch.setattr(shingle_join, "TILE", 8)
+    monkeypatch.setattr(shingle_join, "BROADCAST_SETS", most)
+    draw = random.Random(9)
+    texts = []
+    for size in (40, 150, 400):
+        base = [f"w{size}x{i}" for i in range(size)]
+        for _ in range(40):
+            words = list(base)
+            for _ in range(draw.randrange(1 + size // 30)):
+                words[draw.randrange(size)] = f"new{draw.random()}"
+            texts.append(" ".join(words[: draw.randrange(size * 9 // 10, size + 1)]))
+    docs = documents(spark, texts).repartition(7)
+    got = sorted(map(tuple, shingle_join.linked(docs).collect()))
+    assert got == plain_components(texts)
