@@ -86,9 +86,25 @@ def test_exact_dedup_repeated_and_null_ids(spark):
     assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, "b"), (2, "A")]
     twice = spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string")
     assert exact_dedup.deduplicated(twice).count() == 1
+    other = "doc_id long, text string, lang string, row_hash long"
+    ties = spark.createDataFrame([(1, "a", x, 7) for x in ("en", "de", "en")] + [(3, "b", None, 7)] * 2, other)
+    one = exact_dedup.deduplicated(ties).orderBy("doc_id").collect()
+    assert [r.doc_id for r in one] == [1, 3] and one[1].lang is None
+    assert exact_dedup.deduplicated(ties.orderBy("lang"), 0).orderBy("doc_id").collect() == one
     assert exact_dedup.exact_groups(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, exact_dedup.BROADCAST_ROWS])
+def test_exact_dedup_with_a_third_of_all_rows_equal(spark, broadcast_rows):
+    texts = [f"text {i % 700} {'x' * (i % 5)}" if i % 3 else ("SAME" if i % 2 else "same") for i in range(3000)]
+    docs = documents(spark, texts)
+    last = {t.lower(): i for i, t in enumerate(texts)}
+    kept = exact_dedup.deduplicated(docs, broadcast_rows)
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(i, texts[i]) for i in last.values()}
+    assert kept.count() == len(last)
+
+
 def test_exact_dedup_is_native(spark):
     plan = exact_dedup.exact_groups(documents(spark), digest_all=True)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
