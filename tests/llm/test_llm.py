@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -18,6 +19,7 @@ from tokenizers import Tokenizer
 from visitlens.llm import (
     bpe,
     exact_dedup,
+    learning,
     packing,
     pii,
     quality,
@@ -415,6 +417,52 @@ def test_quality_separates_held_out_rows(spark):
     assert quality.classified(empty(spark), labels).count() == 0
 
 
+def test_hand_over_is_that_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HANDED", 40)
+    rng = np.random.default_rng(5)
+    # A third of all rows have equal features; the rest differ.
+    cells = [[1.0] * 14 if i % 3 == 0 else rng.random(14).tolist() for i in range(900)]
+    rows = [(i, "en", f"s{i % 5}", None if i % 7 == 0 else i, c) for i, c in enumerate(cells)]
+    pool = spark.createDataFrame(rows, quality.POOLED).repartition(16)
+    frame = pd.DataFrame(rows, columns=["doc_id", "lang", "source", "n_chars", "features"])
+    sizes = [v.shape[1] for v in quality.views(frame)]
+    parts = [(rng.normal(size=k) * 4, 0.0) for k in sizes]
+    given = [{1, 2, 4}, set()]
+    got = quality.hand_over(pool, parts, given)
+    for v, (x, (w, b)) in enumerate(zip(quality.views(frame), parts, strict=True)):
+        for value, odds in ((1, x @ w + b), (0, -(x @ w + b))):
+            able = {i for i in range(900) if odds[i] >= np.log(0.97 / 0.03) and i not in given[v]}
+            mine = set(got["doc_id"][(got["view"] == v) & (got["value"] == value)])
+            assert mine <= able and len(mine) == min(40, len(able))
+            rest = [odds[i] for i in able - mine]
+            assert not rest or max(rest) < min(odds[i] for i in mine) + quality.STEP or min(rest) > 39
+
+
+def test_quality_counts_copies_once(spark):
+    docs, labels = labelled_docs(spark)
+    copies = docs.limit(1).select(
+        (F.explode(F.sequence(F.lit(100_000), F.lit(100_400)))).alias("doc_id"), *docs.columns[1:]
+    )
+    scored = quality.classified(docs.unionByName(copies), labels)
+    assert scored.count() == docs.count() + 401
+    assert scored.where("doc_id >= 100000").select("score").distinct().count() == 1
+    rows = scored.join(labels, "doc_id").where("held_out").collect()
+    assert rows and all(r.keep == (r.quality == 1) for r in rows)
+
+
+def test_one_rule_for_capitals_at_every_length():
+    sentence = "Élan vital and a Plain word. "
+    short, long = (quality.text_features(sentence * n)[2] for n in (3, 300))
+    assert short == pytest.approx(long)
+
+
+def test_lowest_hashes_whatever_the_partitions(spark):
+    rows = spark.range(3000).withColumnRenamed("id", "doc_id").repartition(40)
+    expected = [r.doc_id for r in rows.orderBy(F.xxhash64("doc_id")).limit(100).collect()]
+    assert [r.doc_id for r in learning.lowest(rows, 3000, 100)] == expected
+    assert len(learning.lowest(rows, 3000, 5000)) == 3000
+
+
 # Pipeline
 
 

@@ -12,12 +12,29 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
 
 
+def lowest(rows: DataFrame, total: int, wanted: int) -> list:
+    """Of ``total`` rows with a ``doc_id``, the ``wanted`` with the lowest hashes of it.
+
+    Rows are cut by a threshold on the hash before they are collected, so what reaches the
+    driver follows ``wanted``, not the number of rows or partitions. The threshold is raised
+    until enough rows pass it. Ids should not repeat.
+    """
+    space, share = 1 << 64, 1.2 * wanted + 50
+    hashed = rows.withColumn("_order", F.xxhash64("doc_id"))
+    while True:
+        cut = min(space, int(space * share / max(total, 1))) - (space >> 1)
+        drawn = hashed.where(F.col("_order") < cut).collect() if cut < space >> 1 else hashed.collect()
+        if len(drawn) >= min(wanted, total) or cut == space >> 1:
+            return sorted(drawn, key=lambda r: (r["_order"], r["doc_id"]))[:wanted]
+        share *= 2
+
+
 def bounded_sample(labels: DataFrame, label: str, per_class: int) -> list[tuple[int, int]]:
     """At most ``per_class`` ids of each class with label 0 or 1, those of the lowest hashes."""
     found = []
     for value in (0, 1):
-        rows = labels.where(F.col(label) == value).select("doc_id").distinct()
-        drawn = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
+        rows = labels.where((F.col(label) == value) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+        drawn = lowest(rows, rows.count(), per_class)
         found += [(r["doc_id"], value) for r in drawn]
     return found
 

@@ -2,10 +2,13 @@
 
 One view is what the text is like (shares of symbols, repeats, line and word lengths), the
 other is the page's metadata (language, source, declared length). A classifier of each view
-is fitted on a bounded sample of labelled rows; over several rounds each hands its confident
-pseudo-labels of a bounded unlabelled pool to the other. Each view is then calibrated on
-labelled rows that it was not fitted on, and a small regression over the two calibrated
-scores gives the score of every document.
+is fitted on a bounded sample of labelled rows. In each of several rounds both score every
+document that is not held out, and each hands the ``HANDED`` pseudo-labels of a class that it
+is surest of to the other. Documents with equal text features count once, so copies of one
+text are handed over once. A histogram of the scores gives the score from which labels are
+handed over before any row is collected, so what reaches the driver follows ``HANDED`` alone.
+Each view is then calibrated on labelled rows that it was not fitted on, and a small
+regression over the two calibrated scores gives the score of every document.
 
 Defined cases: a null or empty text has all features 0; null metadata is a value of its own.
 Rows that repeat an id are rows of their own; null ids count as held out. Rows with null
@@ -27,14 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.llm.common import stored, whole_text
-from visitlens.llm.learning import bounded_sample, fit_logistic, held_out, sigmoid
+from visitlens.llm.learning import bounded_sample, fit_logistic, held_out, lowest, sigmoid
 
-#: Bounds of the labelled sample, for each class, and of the unlabelled pool.
+#: Bound of the labelled sample, for each class.
 PER_CLASS = 8_000
-POOL = 20_000
 ROUNDS = 4
+#: Pseudo-labels that a view hands over in a round, for each class: a step of the method, not a
+#: bound on the documents it chooses from, which are all.
 HANDED = 500
 CONFIDENT = 0.97
+#: Steps of the histogram of scores, as log odds up to ``TOP_ODDS``.
+STEP, TOP_ODDS = 1 / 64, 40.0
 L2 = 1e-4
 LANG_SLOTS, SOURCE_SLOTS = 16, 64
 
@@ -42,6 +48,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 WORDY = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 BLANK = b" \t\n\r\x0b\x0c"
 TEXT_FEATURES = 14
+POOLED = "doc_id long, lang string, source string, n_chars long, features array<double>"
 
 
 def text_features(text: str) -> list[float]:
@@ -53,9 +60,7 @@ def text_features(text: str) -> list[float]:
     n, size = len(words), len(data)
     symbols = len(data.translate(None, WORDY + BLANK))
     marks = sum(map(data.count, (b".", b",", b"'", b"?", b"-", b"\""))) / size
-    upper = sum(map(str.isupper, text)) / len(text) if len(text) < 2000 else 1 - len(
-        data.translate(None, bytes(range(65, 91)))
-    ) / size
+    upper = 1 - len(data.translate(None, bytes(range(65, 91)))) / size
     digits = 1 - len(data.translate(None, b"0123456789")) / size
     distinct = len(set(words)) / n
     repeats = sum(map(bytes.__eq__, words, itertools.islice(words, 1, None))) / n
@@ -135,8 +140,60 @@ class Model:
         return sigmoid(z[:, 0]), sigmoid(z[:, 1]), sigmoid(z @ self.mix[0] + self.mix[1])
 
 
-def co_train(labelled: pd.DataFrame, pool: pd.DataFrame, weight_of: dict[int, float]) -> Model:
+def sure_of(rows: pd.DataFrame, parts: list[tuple[np.ndarray, float]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each view and class, the places in ``rows`` of confident scores, and their steps."""
+    least = np.log(CONFIDENT / (1 - CONFIDENT))
+    for v, (x, (w, b)) in enumerate(zip(views(rows), parts, strict=True)):
+        odds = x @ w + b
+        for value, signed in ((1, odds), (0, -odds)):
+            at = np.flatnonzero(signed >= least)
+            yield v, value, at, (np.minimum(signed[at], TOP_ODDS) / STEP).astype(np.int64)
+
+
+def hand_over(pool: DataFrame, parts: list[tuple[np.ndarray, float]], given: list[set[int]]) -> pd.DataFrame:
+    """``view, value`` and the columns of ``pool`` of the documents that a view hands over.
+
+    ``given`` holds, for each view, the ids that it has handed over before.
+    """
+
+    def confident(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = batch["doc_id"].to_numpy()
+            for v, value, at, step in sure_of(batch, parts):
+                new = np.array([i not in given[v] for i in ids[at]], bool)
+                if new.any():
+                    yield batch.iloc[at[new]].assign(view=v, value=value, step=step[new])
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in confident(batches):
+            yield rows.groupby(["view", "value", "step"]).size().rename("n").reset_index()
+
+    steps = pool.mapInPandas(counted, "view int, value int, step long, n long")
+    steps = steps.groupBy("view", "value", "step").agg(F.sum("n").alias("n")).toPandas()
+    # The whole steps that fit are handed over whole; of the next one, the lowest hashes.
+    whole, last = F.lit(False), []
+    for (v, value), own in steps.groupby(["view", "value"]):
+        own = own.sort_values("step", ascending=False)
+        fit = own[own["n"].cumsum() <= HANDED]
+        here = (F.col("view") == int(v)) & (F.col("value") == int(value))
+        if len(fit):
+            whole = whole | (here & (F.col("step") >= int(fit["step"].min())))
+        if len(fit) < len(own):
+            edge = own.iloc[len(fit)]
+            last.append((here & (F.col("step") == int(edge["step"])), int(edge["n"]), HANDED - int(fit["n"].sum())))
+    if not len(steps):
+        return pd.DataFrame()
+    rows = pool.mapInPandas(confident, f"{POOLED}, view int, value int, step long")
+    picked = [r.asDict() for r in rows.where(whole).collect()]
+    for at, n, wanted in last:
+        if wanted:
+            picked += [r.asDict() for r in lowest(rows.where(at), n, wanted)]
+    return pd.DataFrame(picked).sort_values(["view", "value", "doc_id"], ignore_index=True)
+
+
+def co_train(labelled: pd.DataFrame, pool: DataFrame, weight_of: dict[int, float]) -> Model:
     """Fit both views in rounds, then calibrate and combine them on a fifth kept apart."""
+    labelled = labelled.sort_values("doc_id", ignore_index=True)
     y = labelled["quality"].to_numpy(float)
     weight = np.array([weight_of[int(v)] for v in y])
     apart = np.array([zlib.crc32(f"calibrate {i}".encode()) % 5 == 0 for i in labelled["doc_id"]])
@@ -144,24 +201,23 @@ def co_train(labelled: pd.DataFrame, pool: pd.DataFrame, weight_of: dict[int, fl
         share = np.clip(y.mean() if len(y) else 1.0, 1e-6, 1 - 1e-6)
         sizes = [v.shape[1] for v in views(labelled)]
         return Model([(np.zeros(k), 0.0) for k in sizes], [(1.0, 0.0)] * 2, (np.zeros(2), float(np.log(share / (1 - share)))))
-    own, others = views(labelled), views(pool)
-    handed: list[dict[int, float]] = [{}, {}]
-    parts: list[tuple[np.ndarray, float]] = []
+    own = views(labelled)
+    x, target, share = [v[~apart] for v in own], [y[~apart]] * 2, [weight[~apart]] * 2
+    given: list[set[int]] = [set(), set()]
     for step in range(ROUNDS + 1):
-        parts = []
-        for v in (0, 1):
-            extra = sorted(handed[v])
-            x = np.vstack([own[v][~apart], others[v][extra]])
-            target = np.concatenate([y[~apart], [handed[v][i] for i in extra]])
-            share = np.concatenate([weight[~apart], np.full(len(extra), weight.min())])
-            parts.append(fit_logistic(x, target, share, L2))
-        if step == ROUNDS or not len(pool):
+        parts = [fit_logistic(x[v], target[v], share[v], L2) for v in (0, 1)]
+        if step == ROUNDS:
             break
+        handed = hand_over(pool, parts, given)
+        if not len(handed):
+            break
+        matrices = views(handed)
         for v in (0, 1):  # what this view is sure of goes to the other
-            p = sigmoid(others[v] @ parts[v][0] + parts[v][1])
-            for value, sure in ((1.0, p), (0.0, 1 - p)):
-                best = [i for i in np.argsort(-sure) if sure[i] >= CONFIDENT and i not in handed[1 - v]]
-                handed[1 - v].update((int(i), value) for i in best[:HANDED])
+            rows, other = (handed["view"] == v).to_numpy(), 1 - v
+            given[v].update(handed["doc_id"][rows].tolist())
+            x[other] = np.vstack([x[other], matrices[other][rows]])
+            target[other] = np.concatenate([target[other], handed["value"][rows].to_numpy(float)])
+            share[other] = np.concatenate([share[other], np.full(rows.sum(), weight.min())])
     scale, z = [], []
     for v in (0, 1):
         raw = (own[v][apart] @ parts[v][0] + parts[v][1])[:, None]
@@ -180,8 +236,10 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     drawn = bounded_sample(usable, "quality", PER_CLASS)
     ids = F.broadcast(spark.createDataFrame(drawn, "doc_id long, quality int"))
     labelled = rows.join(ids, "doc_id").toPandas()
-    pool = rows.where(~F.col("held_out")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL)
-    pool = pool.select("lang", "source", "n_chars", "features").toPandas()
+    once = rows.where(~F.col("held_out")).groupBy("features").agg(
+        F.min(F.struct("doc_id", "lang", "source", "n_chars")).alias("first")
+    )
+    pool = stored(once.select("first.*", "features"), "quality-pool")
     counts = labelled["quality"].value_counts()
     model = co_train(labelled, pool, {v: totals[v] / counts[v] for v in counts.index})
 
