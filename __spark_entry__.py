@@ -37,7 +37,7 @@ from visitlens.operators import (  # noqa: E402
 from visitlens.params import SessionTask, task_parameters  # noqa: E402
 from visitlens.plans import jobs  # noqa: E402
 from visitlens.plans.scratch import OWN_SETTING, shared_folder, stored  # noqa: E402
-from visitlens.sinks.files import append_rows, read_replaced, read_table  # noqa: E402
+from visitlens.sinks.files import append_rows, overwrite_groups, read_replaced, read_table  # noqa: E402
 from visitlens.sinks.files import replace_groups as replace_stored_groups  # noqa: E402
 from visitlens.sources import testtables as tables  # noqa: E402
 from visitlens.sources.adlog import (  # noqa: E402
@@ -233,8 +233,12 @@ def ad_user_click_count(spark, d):
 def ad_click_count_lookup(spark, d):
     """For every (date, user, ad) clicked, the stored count one day later."""
     counts = ad_user_click_count(spark, d)
-    next_day = format_date(F.date_add("click_time", 1)).alias("date")
-    return ads.lookup_click_counts(_clicks(spark, d).select(next_day, "user_id", "ad_id"), counts)
+    path = shared_folder(spark, "user-click-counts")
+    overwrite_groups(counts, path, ["date"])
+    history = spark.read.schema(counts.schema).parquet(path)
+    next_day = format_date(F.date_add(F.to_date("date"), 1)).alias("date")
+    keys = stored(spark, history.select(next_day, "user_id", "ad_id"), "lookup-keys")
+    return ads.lookup_click_counts(keys, history)
 
 
 def ad_blacklist(spark, d):

@@ -60,6 +60,16 @@ def test_lookup_gives_zero_for_an_absent_key(spark):
     ]
 
 
+def test_lookup_keeps_undated_keys_and_many_days(spark):
+    counts = ads.user_click_counts(clicks(spark, (0, "P", "C", 1, 9), (1, "P", "C", 1, 9)))
+    rows = [("2024-01-01", 1, 9), (None, 1, 9), (None, 1, 9), ("2024-01-03", None, 9)]
+    keys = spark.createDataFrame(rows, "date string, user_id bigint, ad_id bigint")
+    expected = {("2024-01-01", 1, 9, 2), (None, 1, 9, 0), ("2024-01-03", None, 9, 0)}
+    for most_days in (400, 1, 0):
+        found = ads.lookup_click_counts(keys, counts, most_days)
+        assert {tuple(r) for r in found.collect()} == expected and found.count() == 3
+
+
 def test_province_top3_ties_go_to_the_lower_ad(spark):
     stat = spark.createDataFrame(
         [("d", "A_B", "C1", 1, 5), ("d", "A_B", "C2", 1, 5), ("d", "A_B", "C1", 2, 4)]

@@ -4,6 +4,7 @@ import __spark_entry__ as entry_point
 from tests.rows import action, actions
 from visitlens import schemas
 from visitlens.functions.times import day_before
+from visitlens.operators import ads
 from visitlens.sinks import batches
 from visitlens.sources.tables import actions_in_dates
 
@@ -67,6 +68,31 @@ def test_no_query_has_a_cross_join_or_a_python_stage(spark):
             assert forbidden not in text, (name, forbidden)
 
 
+def test_lookup_prunes_days_and_filters_stored_counts(spark, tmp_path):
+    days = [f"2024-01-0{d}" for d in range(1, 8)]
+    rows = [(day, user, 1, 5) for day in days for user in range(50)]
+    counts = spark.createDataFrame(rows, "date string, user_id bigint, ad_id bigint, click_count bigint")
+    counts.write.partitionBy("date").parquet(str(tmp_path / "counts"))
+    history = spark.read.schema(counts.schema).parquet(str(tmp_path / "counts"))
+    counts.where("date <= '2024-01-02' AND user_id < 3").drop("click_count").write.parquet(str(tmp_path / "keys"))
+    keys = spark.read.parquet(str(tmp_path / "keys"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found = ads.lookup_click_counts(keys, history)
+        text = plan(found)
+        assert "PartitionFilters: [date" in text and "might_contain" in text
+        assert found.where("click_count = 5").count() == 6
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_reading_touched_dates_prunes_batches(spark, tmp_path):
     key = ("date", "province", "city", "ad_id")
     table = batches.StateTable(str(tmp_path / "t"), schemas.AD_STAT, key, "click_count", "sum", ("date",))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from visitlens.functions.times import format_date
 from visitlens.operators.ranking import first_per_group
 
+MOST_DAYS = 400
 BROADCAST_USERS = 1_000_000  # 8 MB of ids
 
 
@@ -39,14 +40,27 @@ def user_totals(place_counts: DataFrame) -> DataFrame:
     )
 
 
-def lookup_click_counts(keys: DataFrame, counts: DataFrame) -> DataFrame:
+def lookup_click_counts(keys: DataFrame, counts: DataFrame, most_days: int = MOST_DAYS) -> DataFrame:
     """The stored count of each (date, user, ad) key, 0 where there is none.
 
-    Keys are made distinct first, which leaves one row per key on both sides of the join.
+    Give stored keys, and counts that are stored by date: only the days of the keys are read,
+    by name or, beyond ``most_days``, from the first to the last. The same condition on the
+    keys lets Spark build a Bloom filter of them and drop other counts at their scan, where
+    the counts are many. Keys that repeat give one row.
     """
     key = ["date", "user_id", "ad_id"]
-    found = keys.select(*key).distinct().join(counts, key, "left")
-    return found.select(*key, F.coalesce("click_count", F.lit(0)).alias("click_count"))
+    days = [r["date"] for r in keys.select("date").distinct().limit(most_days + 1).collect()]
+    if len(days) <= most_days:
+        asked = F.col("date").isin([day for day in days if day is not None])
+    else:
+        first, last = keys.agg(F.min("date"), F.max("date")).first()
+        asked = F.col("date").between(first, last)
+    found = keys.where(asked).select(*key).join(counts.where(asked), key, "left")
+    found = found.select(*key, F.coalesce("click_count", F.lit(0)).alias("click_count"))
+    if None in days or len(days) > most_days:
+        undated = keys.where(F.col("date").isNull()).select(*key, F.lit(0).cast("long").alias("click_count"))
+        found = found.unionByName(undated)
+    return found.distinct()
 
 
 def blacklistings(counts: DataFrame, threshold: int) -> DataFrame:
