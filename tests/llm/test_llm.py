@@ -238,6 +238,10 @@ def test_reliable_labelers_add_secrets_and_text_is_masked(spark):
     assert masked[40].text == 'token = "<secret>"' and masked[41].text is None
     assert masked[0].n_chars == len(masked[0].text) and "<email>" in masked[0].text
     assert pii.redacted(docs).columns == docs.columns
+    clash = docs.withColumn("found", F.lit("own")).select("found", *docs.columns)
+    again = {r.doc_id: r for r in pii.redacted(clash).collect()}
+    assert pii.redacted(clash).columns == clash.columns
+    assert all(again[i].text == masked[i].text and again[i].found == "own" for i in masked)
 
 
 # Jaccard join
@@ -336,6 +340,36 @@ def test_topk_is_that_of_brute_force(spark):
         expected |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])}
     assert {tuple(r) for r in rows} == expected
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert topk.top_k(spark.createDataFrame([(7, [1.0])], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_topk_sends_queries_only_to_blocks_they_can_need(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    sent = []
+    real = topk.meetings
+    monkeypatch.setattr(topk, "meetings", lambda rows: sent.append(real(rows)) or sent[-1])
+    rng = np.random.default_rng(11)
+    vecs = [(i, (rng.uniform(0.5, 1, size=4) * 0.8 ** (i % 30)).tolist()) for i in range(1200)]
+    rows = topk.top_k(spark.createDataFrame(vecs, "vec_id long, embedding array<double>"), every=20).collect()
+    whole = {i: [int(np.floor(256.0 * x)) for x in v] for i, v in vecs}
+    expected = set()
+    for q in range(0, 1200, 20):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)
+        expected |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])}
+    assert {tuple(r) for r in rows} == expected
+    met = sent[-1].select("block", F.xxhash64("qids").alias("of")).collect()
+    first = min(r.block for r in met)
+    query_blocks = len({r.of for r in met})
+    assert first == 0 and len(met) < query_blocks * 30 / 2
+
+
+def test_topk_scores_beyond_64_bits_are_held_at_the_end_of_a_long(spark):
+    vecs = [(0, [1e15, 1.0]), (1, [1e15, 0.0]), (2, [-1e15, 0.0]), (3, [0.0, 1.0])]
+    rows = topk.top_k(spark.createDataFrame(vecs, "vec_id long, embedding array<double>")).collect()
+    assert [(r.vec_id, r.score) for r in sorted(rows, key=lambda r: r.rank)] == [
+        (1, 2**63 - 1), (3, 256 * 256), (2, -(2**63))
+    ]
 
 
 # WARC

@@ -16,14 +16,15 @@ empty table gives an empty result. Other columns are not looked at.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
-from visitlens.llm.common import stored, whole_text
+from visitlens.llm.common import stored
 from visitlens.llm.learning import fit_logistic, sigmoid
 
 BASE = ("email", "ip", "card", "phone")
@@ -166,7 +167,7 @@ def candidates(text: str) -> list[Candidate]:
     return sorted(found, key=lambda c: (c[1], c[0], c[2]))
 
 
-CANDIDATES = "doc_id long, found array<struct<kind:int,start:int,end:int,base:boolean,votes:int,size:int>>"
+CANDIDATES = "array<struct<kind:int,start:int,end:int,base:boolean,votes:int,size:int>>"
 FOUND = pa.list_(
     pa.struct(
         [("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.int32()), ("size", pa.int32())]
@@ -174,21 +175,22 @@ FOUND = pa.list_(
 )
 
 
-def labelled(docs: DataFrame) -> DataFrame:
-    """``doc_id, found``: every document's candidates with their votes."""
+def labelled(docs: DataFrame, keep: Sequence[str] = ("doc_id",), name: str = "found") -> DataFrame:
+    """The columns ``keep`` of every document, and in ``name`` its candidates with their votes."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("kind", "start", "end", "base", "votes", "size")
         for batch in batches:
             cells = [
-                [dict(zip(names, c, strict=True)) for c in candidates(t)]
+                [dict(zip(names, c, strict=True)) for c in candidates(t or "")]
                 for t in batch.column("text").to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(cells, FOUND)], names=["doc_id", "found"]
-            )
+            kept = [batch.column(k) for k in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(cells, FOUND)], names=[*keep, name])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(look, CANDIDATES)
+    schema = StructType([docs.schema[k] for k in keep]).add(name, DataType.fromDDL(CANDIDATES))
+    needed = [*keep] if "text" in keep else [*keep, "text"]
+    return docs.select(*(F.col(f"`{c}`") for c in needed)).mapInArrow(look, schema)
 
 
 class Model:
@@ -262,9 +264,9 @@ def estimate(votes: np.ndarray, kinds: np.ndarray, counts: np.ndarray, rounds: i
     return belief, table
 
 
-def fit(found: DataFrame) -> Model:
+def fit(found: DataFrame, name: str = "found") -> Model:
     """Train on the counts of kinds, votes and size classes over the whole corpus."""
-    one = found.select(F.explode("found").alias("c")).select("c.kind", "c.votes", "c.size")
+    one = found.select(F.explode(name).alias("c")).select("c.kind", "c.votes", "c.size")
     rows = one.groupBy("kind", "votes", "size").count().collect()
     if not rows:
         return Model(None, 0.0, None)
@@ -311,13 +313,19 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in angle brackets.
 
     Overlapping base spans are covered together, under the kind of the first. The length
-    column ``n_chars`` follows the new text.
+    column ``n_chars`` follows the new text. Candidates are found once and stored beside the
+    text; the second pass only decides on them.
     """
-    model = fit(stored(labelled(docs), "pii-candidates"))
-
-    def cover(text: str) -> str:
+    name = "found"
+    while name in docs.columns:
+        name = f"_{name}"
+    given = docs.columns
+    found = stored(labelled(docs, given, name), "pii-candidates")
+    model = fit(found, name)
+
+    def cover(text: str, cell: list[dict]) -> str:
         parts, at = [], 0
-        for kind, start, end, _ in model.chosen(candidates(text)):
+        for kind, start, end, _ in model.chosen([tuple(c.values()) for c in cell]):
             if start >= at:
                 parts += [text[at:start], f"<{KINDS[kind]}>"]
             at = max(at, end)
@@ -326,12 +334,16 @@ def redacted(docs: DataFrame) -> DataFrame:
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = batch.schema.get_field_index("text")
-            texts = [None if t is None else cover(t) for t in batch.column(i).to_pylist()]
-            columns = list(batch.columns)
-            columns[i] = pa.array(texts, batch.schema.field(i).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            cells = batch.column(name).to_pylist()
+            texts = [
+                None if t is None else cover(t, c)
+                for t, c in zip(batch.column(i).to_pylist(), cells, strict=True)
+            ]
+            columns = [batch.column(c) for c in given]
+            columns[given.index("text")] = pa.array(texts, batch.schema.field(i).type)
+            yield pa.RecordBatch.from_arrays(columns, names=given)
 
-    out = docs.mapInArrow(rewrite, docs.schema)
+    out = found.mapInArrow(rewrite, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(docs.columns)
