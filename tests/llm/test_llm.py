@@ -308,6 +308,15 @@ def test_join_of_texts_spread_over_many_batches(spark, monkeypatch):
     }
 
 
+def test_join_finds_the_same_with_more_hash_ranges_than_partitions(spark, monkeypatch):
+    texts = [" ".join(f"w{i // 3}x{j}" for j in range(40 + i % 3)) for i in range(30)]
+    docs = documents(spark, texts)
+    rows = {(r.doc_id, r.n_shingles, r.component_id) for r in shingle_join.linked(docs).collect()}
+    assert {c for _, _, c in rows} == set(range(0, 30, 3))
+    monkeypatch.setattr(shingle_join, "RANGE_BYTES", 100)
+    assert {tuple(r) for r in shingle_join.linked(docs).collect()} == rows
+
+
 def test_join_of_an_empty_table_and_null_ids(spark):
     assert shingle_join.linked(empty(spark)).count() == 0
     docs = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e")], "doc_id long, text string")

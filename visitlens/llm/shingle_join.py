@@ -5,8 +5,8 @@ ratio of whole numbers. The join is exact and goes in four steps.
 
 1. *Counting.* Every document posts those of its shingle hashes that lie in the lowest
    ``SAMPLED`` part of the hash range (small documents, and those with so few there that a
-   partner might have none of them, post all). Postings are dealt by hash
-   in packed blocks, and each comes back with the number of documents that have it. Linked
+   partner might have none of them, post all). Postings are dealt by hash range in packed
+   blocks, with as many ranges as the bytes of the texts ask for, and each comes back with the number of documents that have it. Linked
    documents can differ in few shingles, so a document whose rarest postings, as many as may
    differ and one more, are all its own has no partner. The rest of those rarest postings
    that it shares are its keys: linked documents share at least one.
@@ -45,6 +45,7 @@ from visitlens.llm.common import components, shuffle_parts, slices, stored, whol
 SAMPLED = 0.25
 POSTS_ALL = 128
 BATCH_BYTES = 8 << 20
+RANGE_BYTES = 64 << 20  # text whose postings make one hash range on average
 TILE = 1500
 BITS_PER_SHINGLE = 4
 BROADCAST_SETS = 1_000_000  # rows of 64 bytes
@@ -220,7 +221,8 @@ def _shared_postings(group: pd.DataFrame) -> pd.DataFrame:
 
 def keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """``doc_id, hash``: the shared rarest postings of documents that may have a partner."""
-    parts = shuffle_parts(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length(whole_text()))).first()[0] or 0
+    parts = max(shuffle_parts(docs.sparkSession), -(-total // RANGE_BYTES))
     blocks = _posting_blocks(docs, n, num, den, parts)
     shared = blocks.groupBy("part").applyInPandas(
         _shared_postings, "doc_id long, spare int, hash long, n long"
