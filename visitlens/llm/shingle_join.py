@@ -45,6 +45,7 @@ from visitlens.llm.common import components, shuffle_parts, slices, stored, whol
 SAMPLED = 0.25
 POSTS_ALL = 128
 BATCH_BYTES = 8 << 20
+HASHED_BYTES = 1 << 20  # bytes hashed at once, or one text: about 40 bytes of arrays for each
 RANGE_BYTES = 64 << 20  # text whose postings make one hash range on average
 TILE = 1500
 BITS_PER_SHINGLE = 4
@@ -70,13 +71,28 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the n-word shingles of every text.
-
-    Words of all texts are hashed together: a word's polynomial hash is a difference of
-    running sums, divided by the power of ``ODD`` at its start. So it depends on the bytes
-    of the word alone, not on the texts beside it.
+    """Sorted distinct 64-bit hashes of the n-word shingles of every text."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        data = text.encode()
+        if held and size + len(data) > HASHED_BYTES:
+            out += _hashed_sets(held, n)
+            held, size = [], 0
+        held.append(data)
+        size += len(data)
+    return out + _hashed_sets(held, n)
+
+
+def _hashed_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """The sets of texts whose words are hashed together.
+
+    A word's polynomial hash is a difference of running sums, divided by the power of
+    ``ODD`` at its start. So it depends on the bytes of the word alone, not on the texts
+    beside it.
     """
-    buffer = b" ".join(t.encode() for t in texts) + b" "
+    buffer = b" ".join(texts) + b" "
     data = np.frombuffer(buffer.lower(), np.uint8)
     blank = BLANKS[data]
     starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
@@ -89,7 +105,7 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     own_scale = powers(INVERSE, len(data))[starts]
     words = mixed((sums[ends] - sums[starts]) * own_scale + (ends - starts).astype(np.uint64))
     del sums
-    sizes = np.fromiter((len(t.encode()) + 1 for t in texts), np.int64, len(texts))
+    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
